@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, packing
+from quernstone.llm import bpe, packing, stuffing
 from quernstone.runtime import read
 
 
@@ -20,5 +20,9 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p8_packing(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.junk_pages(read(spark, sf_dir, "documents")).select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p8_packing, p8_report)}
+    return {f.__name__: f for f in (p7_ids, p8_packing, p8_report, p9_found)}
