@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.operators import diff
+from quernstone.runtime import read
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.diff_states(read(spark, sf_dir, "replay_results"))
+
+
+def p6_recorded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The found differences against changed_paths of the older audit: paths it has in excess and paths it lacks."""
+    found = p6_found(spark, sf_dir).select("replay_id", "path").withColumn("side", F.lit("found"))
+    told = read(spark, sf_dir, "replay_results").select("replay_id", F.explode("changed_paths").alias("path")).where("path is not null").distinct()
+    both = found.join(told.withColumn("told", F.lit(True)), ["replay_id", "path"], "full_outer")
+    return both.groupBy("replay_id").agg(
+        F.count_if(F.col("side").isNotNull() & F.col("told").isNotNull()).alias("agreed"),
+        F.count_if(F.col("told").isNull()).alias("not_recorded"),
+        F.count_if(F.col("side").isNull()).alias("not_found"),
+    )
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (p6_found, p6_recorded_paths)}
 
 
 def oracle_sql() -> dict[str, str]:
