@@ -3,9 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, packing, stuffing
-from quernstone.runtime import read
+from quernstone.llm import bpe, consensus, grouped_split, packing, stuffing
+from quernstone.runtime import materialize, read
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions = consensus.valid_votes(read(spark, sf_dir, "review_decisions"), "review_decisions", "label")
+    quality = consensus.valid_votes(read(spark, sf_dir, "quality_reviews"), "quality_reviews", "quality_label")
+    return materialize(decisions.unionByName(quality), "valid-votes")
+
+
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = _votes(spark, sf_dir)
+    return consensus.consensus(votes, consensus.reliabilities(votes))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_consensus(spark, sf_dir).select("review_kind", "task_id", "label")
+
+
+def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = consensus.reliabilities(_votes(spark, sf_dir))
+    return r.select("review_kind", "reviewer", "votes", F.round("reliability", 4).alias("reliability"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_split.torn_records(read(spark, sf_dir, "quality_decisions")).select("task_id")
+
+
+def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grouped_split.latest_rows(read(spark, sf_dir, "quality_decisions"), "task_id", ["group_ids"])
+    return grouped_split.split_related(rows)[0]
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +55,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p8_packing, p8_report, p9_found)}
+    return {f.__name__: f for f in (p2_found, p2_consensus, p2_reliability, p5_found, p5_split, p7_ids, p8_packing, p8_report, p9_found)}
