@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, consensus, grouped_split, packing, stuffing
+from quernstone.llm import bpe, consensus, grouped_split, near_duplicates, packing, stuffing
 from quernstone.runtime import materialize, read
 
 
@@ -29,6 +29,14 @@ def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("review_kind", "reviewer", "votes", F.round("reliability", 4).alias("reliability"))
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.conversation_groups(read(spark, sf_dir, "message_events"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.group_pairs(p3_groups(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_split.torn_records(read(spark, sf_dir, "quality_decisions")).select("task_id")
 
@@ -55,4 +63,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_consensus, p2_reliability, p5_found, p5_split, p7_ids, p8_packing, p8_report, p9_found)}
+    return {f.__name__: f for f in (p2_found, p2_consensus, p2_reliability, p3_found, p3_groups, p5_found, p5_split, p7_ids, p8_packing, p8_report, p9_found)}
