@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, consensus, grouped_split, near_duplicates, packing, stuffing
+from quernstone.llm import bpe, consensus, grouped_split, near_duplicates, packing, pii, stuffing
 from quernstone.runtime import materialize, read
 
 
+def p1_redacted(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+    """Records with personal information: the kinds found and the text with placeholders; each record once."""
+    messages = read(spark, sf_dir, "message_events").select(F.lit("message").alias("record_kind"), F.col("event_id").alias("record_id"), F.col("content").alias("text"))
+    hits = read(spark, sf_dir, "pii_hits").select(F.lit("hit").alias("record_kind"), F.col("hit_id").alias("record_id"), F.col("context").alias("text"))
+    found = pii.find_personal_information(messages.unionByName(hits), "record_id", "text", ["record_kind"], with_text=with_text)
+    return found.dropDuplicates(["record_kind", "record_id", "kinds", "redacted"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p1_redacted(spark, sf_dir, with_text=False)
+    return found.select("record_kind", "record_id", F.explode("kinds").alias("category")).distinct()
+
+
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = consensus.valid_votes(read(spark, sf_dir, "review_decisions"), "review_decisions", "label")
     quality = consensus.valid_votes(read(spark, sf_dir, "quality_reviews"), "quality_reviews", "quality_label")
@@ -63,4 +76,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_consensus, p2_reliability, p3_found, p3_groups, p5_found, p5_split, p7_ids, p8_packing, p8_report, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_consensus, p2_reliability, p3_found, p3_groups, p5_found, p5_split, p7_ids, p8_packing, p8_report, p9_found)}
