@@ -91,6 +91,7 @@ class Crf:
 
     def __init__(self, words: dict[str, int], shapes: dict[str, int]):
         self.words, self.shapes = words, shapes
+        self.plain: dict[str, int] = {}  # words of the table that are in no name
         n_l, n_o = len(LABELS), len(OFFSETS)
         self.W = np.zeros((n_o, len(words) + 1, n_l), np.float32)
         self.S = np.zeros((n_o, len(shapes) + 1, n_l), np.float32)
@@ -167,8 +168,10 @@ def train(size: int = TABLE_SIZE, seed: int = 7) -> Crf:
             word = token.strip(" \t").lower()
             if label and word.isalpha():
                 counts[word] = counts.get(word, 0) + 0.2
+    inside = {t.strip(" \t").lower() for tokens, labels in data for t, x in zip(tokens, labels) if LABELS[x] == "NAME"}
     words = {w: i + 1 for i, w in enumerate(sorted(w for w, n in counts.items() if n >= WORD_COUNT and not w.isdigit()))}
     crf = Crf(words, shapes)
+    crf.plain = {w: i for w, i in words.items() if w not in inside}
     coded = []
     for tokens, labels in data:
         pairs = [crf.codes(t) for t in tokens]
@@ -342,26 +345,35 @@ def viterbi(e: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     return path
 
 
+# Words and signs of the forms that are checked.
 NUMBER_WORDS = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double)\b", re.I)
-AT = re.compile(r"@|\bat\b", re.I)
-DOT = re.compile(r"\.|\bdot\b", re.I)
+SPELLED_AT = re.compile(r"[\[(<{ ]\s*(?:at|@)\s*[\])>} ]", re.I)
+SPELLED_DOT = re.compile(r"\bdot\b|\.", re.I)
 TITLES = re.compile(r"^(?:mrs?|ms|dr|prof|herr|frau|se[ñn]ora?|madame|sir|miss)\b", re.I)
+STREET = re.compile(
+    r"\b(?:st|street|rd|road|ave?|avenue|ln|lane|drive|dr|court|ct|way|terrace|blvd|boulevard|close|place|square|sq|crescent|highway|parkway|box|calle|avenida|plaza|paseo|rue|via|impasse)\b"
+    r"|(?:weg|straße|strasse|str\.|allee|platz|gasse|ring|ufer|damm)\b", re.I)
 
 
-def well_formed(kind: str, text: str) -> bool:
-    """The check of a span's form."""
+def well_formed(kind: str, text: str, known: dict[str, int] | None = None) -> bool:
+    """The check of a span's form. known: words of the table that are part of no name."""
     digits = sum(map(str.isdigit, text))
     words = re.findall(r"[^\W\d_]+", text)
     if kind == "EMAIL":
-        return bool(AT.search(text) and DOT.search(text) and len(words) >= 2)
+        if "@" in text and SPELLED_DOT.search(text):
+            return len(words) >= 2
+        at = SPELLED_AT.search(text)
+        return bool(at and SPELLED_DOT.search(text, at.end()) and (" dot " in text.lower() or at.group().strip() not in ("at", "AT", "At")))
     if kind == "PHONE":
         return digits >= 7 or len(NUMBER_WORDS.findall(text)) >= 7
     if kind == "ID_NUMBER":
         return digits >= 5
     if kind == "ADDRESS":
-        return digits >= 1 and len(words) >= 1
-    long = [w for w in words if len(w) > 1]
-    return not digits and (len(long) >= 2 or bool(TITLES.match(text.strip()) and len(words) >= 2))
+        return digits >= 1 and ";" not in text and bool(STREET.search(text))
+    if digits or not (sum(len(w) > 1 for w in words) >= 2 or (TITLES.match(text.strip()) and len(words) >= 2)):
+        return False
+    # without capitals only words that the table doesn't know as ordinary ones can be a name
+    return not text.islower() or not any(w in (known or {}) for w in words)
 
 
 def entities(tagger: Tagger, texts: list[str]) -> list[tuple[int, list[tuple[str, int, int]]]]:
@@ -369,35 +381,31 @@ def entities(tagger: Tagger, texts: list[str]) -> list[tuple[int, list[tuple[str
     out = []
     for t, spans in tagger.tag(texts):
         ends = np.cumsum([len(x) for x in tagger.lists[t]])
-        text, kept = texts[t], []
+        text, kept, parts = texts[t], [], []
         for label, a, b in spans:
             start, end = int(ends[a - 1]) if a else 0, int(ends[b - 1])
             piece = text[start:end]
             start += len(piece) - len(piece.lstrip())
             end -= len(piece) - len(piece.rstrip())
-            if well_formed(LABELS[label], text[start:end]):
-                kept.append((LABELS[label], start, end))
-        # the parts of a name in a record's fields are one name
-        if not kept:
-            kept = record_names(text, [(LABELS[x], int(ends[a - 1]) if a else 0, int(ends[b - 1])) for x, a, b in spans])
-        else:
-            kept = sorted(kept + record_names(text, [(LABELS[x], int(ends[a - 1]) if a else 0, int(ends[b - 1])) for x, a, b in spans]), key=lambda k: k[1])
+            kind = LABELS[label]
+            if kind in ("ID_NUMBER", "PHONE") and LONGER.search(text[max(0, start - 2) : start] + "\0" + text[end : end + 2]):
+                continue  # a part of a longer code
+            if well_formed(kind, text[start:end], tagger.crf.plain):
+                kept.append((kind, start, end))
+            elif kind == "NAME":
+                parts.append((kind, start, end))
+        # a record gives the parts of a name in fields of their own
+        if len(parts) >= 2 and FIELDS.search(text):
+            kept = sorted(kept + parts, key=lambda k: k[1])
         if kept:
             out.append((t, kept))
     return out
 
 
+LONGER = re.compile(r"\w-?\0|\0-?\w")
 FIELDS = re.compile(r'"(?:first|given)_?name":\s*"', re.I)
 
 
-def record_names(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of a name that a record gives in two fields, each too short to be a name alone."""
-    if not FIELDS.search(text):
-        return []
-    parts = [(k, s + len(text[s:e]) - len(text[s:e].lstrip()), e) for k, s, e in spans if k == "NAME" and not well_formed(k, text[s:e])]
-    return parts if len(parts) >= 2 else []
-
-
 def redacted(text: str, found: list[tuple[str, int, int]]) -> str:
     """The text with a typed placeholder for each entity."""
     out, at = [], 0

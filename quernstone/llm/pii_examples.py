@@ -31,6 +31,8 @@ Billing: {ADDRESS}|Deliver to {NAME}, {ADDRESS}, and call {PHONE}.|Deliver to {N
 Please leave it with {NAME} next door.|The order was placed by {NAME}.|My neighbour {NAME} has the box.|It is a present for {NAME}.|This is {NAME} speaking.
 Was it {NAME} who packed it?|My name is {NAME}.|The card belongs to {NAME}, not to me.|Ask {NAME} if you are unsure.|I spoke with {NAME} at your desk before.
 Put {NAME} on the label.|Best regards, {NAME}|thanks, {NAME}|it is registered to {NAME}, my partner|I am {NAME}, reach me via {EMAIL}|The recipient is {NAME}.
+{NAME} signed for the parcel.|{NAME} signed for it.|{NAME} will collect it.|{NAME} opened the door.|You told me: {NAME} signed for the parcel.|deliver to {ADDRESS} instead|deliver to {ADDRESS} instead|I moved to {ADDRESS} last month.|I moved to {ADDRESS} in spring.|Use {ADDRESS} from now on.|Send it to {ADDRESS} instead.|The van stopped at {ADDRESS} and left.|change it to {ADDRESS} please
+The parcel went to {ADDRESS} by mistake.|It was left at {ADDRESS} yesterday.|Deliver to {NAME}, {ADDRESS}, and call {PHONE}.|thanks, {NAME}|Thanks, {NAME}|{ADDRESS} is where the courier should ring.|{ADDRESS} is our new place.|{ADDRESS} was the old address.
 You told me: It is a present for {NAME}.|You told me: My name is {NAME}.|I am {NAME}.|Regards {NAME}|signed {NAME}|{"name": "{NAME}", "id": "{item}"}
 {"user_id": "{user}", "status": "{status}", "name": {"first_name": "{First}", "last_name": "{Last}"}}
 """
@@ -57,12 +59,18 @@ I will {verb} it once you confirm.|For your order {order} only one exchange is p
 Is there anything else I can help you with today?|Have a pleasant day!|Thank you for your patience while I look into this.|I am happy to help you with that request.|Could you please provide your email or your name and zip code?
 You are a retail support agent. Follow the policy, ask before every change, and make one call at a time. Policy revision {d1}.|I am on the move right now.|It was meant for another branch.|We are near {City} this week.|The weather in {City} is bad.
 {"order_id": "{order}", "status": "{status}", "items": [{"item_id": "{item}", "name": "{thing}", "price": {money}}]}|{"order_id": "{order}", "status": "{status}", "items": [{"item_id": "{item}", "name": "{thing}", "price": {money}}, {"item_id": "{item}", "name": "{thing}", "price": {money}}]}
+I dropped the {thing} and it still works.|We are waiting for the second parcel since then.|My neighbour has the box.|Please leave it with the neighbour.|The order was placed by my partner.|The card has too little on it.|This is not what I wanted.|Ask the front desk if you are unsure.|Put it on the label.
+I am quite relaxed about it.|I am rather unsure about that.|I am very sorry about this.|He was quite angry about it.|It is rather dark and quite heavy.|deliver to the old place instead|I moved to another town last month.|We use it in the office instead.
+I am a bit lost here and would like to know more.|The screen flickers whenever it rains.|You can text me if the courier is late.|The driver should ring twice.|Call me after five.|It is a present for my daughter.|I spoke with someone at your desk before.|Is the old address still on my profile?|The courier should ring at the side door.|Nobody signed for the parcel.
+I read that the policy changed and nobody told me about it.|What a mess, the lid was cracked and the hinge came off.|Both of them look fine, though the seam is loose.|Let me think about it while you look that up.|It took ages to arrive, the packaging was soaked and the corner bent.|Fine by me, go on.|Let me check the weight limit of the shelf first.|shall I proceed (yes or no)
+The label says fragile, which is wrong.|We live near the station now.|I moved last spring.|Deliver to the back door and call twice.|Pick it up from the shop tomorrow.|Forward everything until spring.|The form asked for my shoe size.|I attached a scan.|For customs they wanted the invoice.|Your clerk wrote it down wrongly.|I can give you my word.|To verify me, take the order number.
+{"city": "{City}", "zip": "{zip}"}|{"user_id": "{user}", "city": "{City}"}|{"address": {"zip": "{zip}", "country": "US", "city": "{City}"}}|given that the account owner asked for it.|the owner asked for it|perhaps the owner knows it
 {"error": "order not found"}|Error: user not found|{"user_id": "{user}", "status": "{status}", "balance": {money}}|{"tracking": "1Z{d2} {d4} {d4} {d2}", "carrier": "{Brand}"}|Thanks, {First}.|I am {First}.|The {Brand} {thing} arrived with a dent.
 """
 
 # Openings and endings of sentences.
-OPENINGS = "Hello,|Hi there,|Okay,|Well,|Thanks, but|Honestly,|Actually,|Good point,|As I said,|To be clear,|One question:|Before we go on,|Hm,|Look,|Right, so|If possible,|From what I can see,|Just so you know,|Since you asked,|Sorry, one more thing:|Unfortunately,|According to the system,|Of course,|To confirm,|In short,|Understood,|Next,|After checking,|Thank you,|As requested,|Good news:|I see that|Let me note that|You told me:".split("|")
-ENDINGS = "and keep the rest as it is|as soon as you can|, the one for {place}|, although {colour} was out of stock|because it arrived with a dent|, I checked {when}|, not the {colour} one|and send me the total|, or at least tell me why not|if that is not too much trouble|without touching the {thing}|, item {item}|, effective {date}|with {pay} as the method|, and {order} stays untouched|and the refund takes {d2} days|; this cannot be undone later|, which brings the difference to {usd}|in {colour}|since I bought it {when}|, it was {usd} when I paid".split("|")
+OPENINGS = "Hello,|Hi there,|Okay,|Well,|Thanks, but|Honestly,|Actually,|Good point,|As I said,|To be clear,|One question:|Before we go on,|Hm,|Look,|Right, so|If possible,|From what I can see,|Just so you know,|Since you asked,|Sorry, one more thing:|Unfortunately,|According to the system,|Of course,|To confirm,|In short,|Understood,|Next,|After checking,|Thank you,|As requested,|Good news:|Just to be sure,|Before I proceed,|On second thought,|By the way,|First of all,|Let me see,|Alright,|Once more,|In the meantime,|For now,|Apart from that,|Last thing:|Understood; next,|Right,|I see that|Let me note that|You told me:".split("|")
+ENDINGS = "and keep the rest as it is|as soon as you can|, the one for {place}|, although {colour} was out of stock|because it arrived with a dent|, I checked {when}|, not the {colour} one|and send me the total|, or at least tell me why not|if that is not too much trouble|without touching the {thing}|, item {item}|, effective {date}|with {pay} as the method|, and {order} stays untouched|and the refund takes {d2} days|; this cannot be undone later|, which brings the difference to {usd}|, although the motor hums at night|because the battery drains within an hour|, and I am a bit annoyed|, and I am not an expert|, and I am quite relaxed about it|, and I am rather unsure about it|, and I am happy with the rest|because it smells of paint|because the colour looks different in daylight|, although I ordered it by mistake|unless there is a fee|because my plans have changed|, as the item is {status}|, given that the gift card has too little on it|; shall I proceed (yes or no)|, so nothing else changes|and you will get a note about it|because the sleeve is too short|, although the lid leaks when it is full|because the wheel squeaks on tiles|, and I am in a hurry|, and I am new to this|since the manual is missing a page|because the drawer sticks in winter|in {colour}|since I bought it {when}|, it was {usd} when I paid".split("|")
 
 # Fillers.
 FILLERS = {
@@ -131,7 +139,7 @@ class Writer:
         else:
             out = f"{first} {last}"
         y = r.random()
-        return out.upper() if y < 0.1 else out.lower() if y < 0.2 else out
+        return out.upper() if y < 0.1 else out.lower() if y < 0.18 else out
 
     def email(self) -> str:
         r, x = self.r, self.r.random()
@@ -189,12 +197,16 @@ class Writer:
         r = self.r
         name = self.syllables(r.choice((1, 2)), PLACE_ENDINGS).capitalize()
         if r.random() < 0.3:
-            name = r.choice(("Old", "Mill", "Tanner's", "Fifth", "Maple", "North", "King's")) + " " + r.choice((name, "Orchard", "Race", "Rise"))
-        return f"{r.choice((self.digits(2), self.digits(3), self.digits(4))).lstrip('0') or '7'}{',' if r.random() < 0.1 else ''} {name} {r.choice(FILLERS['street_kind'])}"
+            name = r.choice(("Old", "Mill", "Fifth", "Maple", "North")) + " " + r.choice((name, "Orchard", "Race", "Rise")) if r.random() < 0.6 else r.choice((name, "King", "Tanner", "Baker")) + "'s"
+        street_kind = r.choice(FILLERS["street_kind"])
+        if r.random() < 0.04:
+            name = name.lower()
+            street_kind = street_kind.lower()
+        return f"{'no. ' if r.random() < 0.05 else ''}{r.choice((self.digits(1), self.digits(2), self.digits(3), self.digits(4))).lstrip('0') or '7'}{',' if r.random() < 0.12 else ''} {name} {street_kind}"
 
     def city(self) -> str:
         name = self.syllables(1, PLACE_ENDINGS).capitalize()
-        return name + self.r.choice(("", "", "", " Falls", " Landing", " Bay")) if self.r.random() < 0.9 else "Port " + name
+        return name + self.r.choice(("", "", "", " Falls", " Landing", " Bay", " Mills", " Heath")) if self.r.random() < 0.85 else self.r.choice(("Port ", "Nether ", "Upper ", "Saint ")) + name
 
     def address(self) -> str:
         r, x = self.r, self.r.random()
@@ -204,7 +216,7 @@ class Writer:
             way = self.syllables(2, ["weg", "straße", "strasse", "allee", "platz", "gasse"]).capitalize()
             return f"{way} {r.randint(1, 140)}, {self.digits(5)} {self.city()}"
         if x < 0.4:
-            return f"{r.choice(('Calle', 'Avenida', 'Plaza', 'Rue', 'Via'))} {self.syllables(2, ['a', 'os', 'o', 'e']).capitalize()} {r.randint(1, 99)}" + (f", {r.randint(1, 6)}º {r.choice('ABC')}" if r.random() < 0.6 else "") + f", {self.city()}"
+            return f"{r.choice(('Calle', 'Avenida', 'Plaza', 'Rue', 'Via'))} {r.choice(('', '', '', 'del ', 'de la ', 'de '))}{self.syllables(2, ['a', 'os', 'o', 'e']).capitalize()}{r.choice(('', '', '', ' Viejo', ' Nueva', ' Mayor'))} {r.randint(1, 99)}" + (f", {r.randint(1, 6)}º {r.choice('ABC')}" if r.random() < 0.6 else "") + f", {self.city()}"
         if x < 0.5:
             return f"Flat {r.randint(1, 40)}, {self.street()}, {self.city()}"
         unit = f"{r.choice((' ', ', '))}{r.choice(FILLERS['unit'])} {self.digits(r.choice((1, 2, 3)))}{r.choice(('', '', 'A', 'B'))}" if r.random() < 0.4 else ""
