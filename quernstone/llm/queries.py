@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, consensus, grouped_split, near_duplicates, packing, pii, stuffing
+from quernstone.llm import bpe, consensus, grouped_split, leakage, near_duplicates, packing, pii, stuffing
 from quernstone.runtime import materialize, read
 
 
@@ -50,6 +50,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group_pairs(p3_groups(spark, sf_dir))
 
 
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaking pairs with their splits, similarity and coverage."""
+    rows = materialize(leakage.decided(read(spark, sf_dir, "candidate_decisions")), "decided")
+    return leakage.leaking_pairs(rows, leakage.task_links(rows, read(spark, sf_dir, "task_definitions")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pairs(spark, sf_dir).select(F.least("train", "evaluation").alias("candidate_id_a"), F.greatest("train", "evaluation").alias("candidate_id_b"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leakage_report(p4_pairs(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_split.torn_records(read(spark, sf_dir, "quality_decisions")).select("task_id")
 
@@ -76,4 +90,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_consensus, p2_reliability, p3_found, p3_groups, p5_found, p5_split, p7_ids, p8_packing, p8_report, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_consensus, p2_reliability, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_split, p7_ids, p8_packing, p8_report, p9_found)}
