@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators import diff
+from quernstone.plans import governing, trajectories
 from quernstone.runtime import read
 
 
@@ -26,8 +27,9 @@ def p6_recorded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_found, p6_recorded_paths)}
+    own = {f.__name__: f for f in (p6_found, p6_recorded_paths)}
+    return own | {name: f for m in (trajectories, governing) for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in (trajectories, governing) for name, (_, sql) in m.QUERIES.items()}
