@@ -27,7 +27,7 @@ def binary_confusion(rows: DataFrame, gold: Column, predicted: Column) -> DataFr
 
 def ternary_matrix(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     """(gold, PASS, REVIEW, FAIL): counts of predictions by gold label."""
-    return rows.groupBy(gold).pivot(predicted, ["PASS", "REVIEW", "FAIL"]).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(gold).pivot(predicted, ["PASS", "REVIEW", "FAIL"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def selective(rows: DataFrame, gold: str, predicted: str) -> DataFrame:

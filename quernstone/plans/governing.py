@@ -120,12 +120,13 @@ select reasons, count(*) as rows from r where reasons <> '' group by reasons"""
 
 def decision_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules of the decisions that hold, by task."""
-    rules = {"sha256": F.col("source_sha256").rlike("^[0-9A-F]{64}$"), "path": F.length(F.trim("source_path")) > 0, "split": F.col("split").isNull() | F.col("split").isin("TRAIN", "VALIDATION"), "groups": F.size("group_ids") > 0}
+    rules = {"sha256": F.col("source_sha256").rlike("^[0-9A-F]{64}$"), "path": F.length(F.trim("source_path")) > 0, "split": F.col("split").isNull() | F.col("split").isin("TRAIN", "VALIDATION"), "groups": F.size("group_ids") > 0, "entries": F.forall("group_ids", lambda e: e.isNotNull() & (e == F.regexp_replace(e, r"^\s+|\s+$", "")) & (e != ""))}
     return governance.violations(_decided(spark, sf_dir), "task_id", rules)
 
 
 DECISION_CONTRACT = f"""with {DECIDED}, r as (select task_id, concat_ws(',', case when not coalesce(regexp_full_match(source_sha256, '[0-9A-F]{{64}}'), false) then 'sha256' end, case when not coalesce(length(trim(source_path)) > 0, false) then 'path' end,
- case when not coalesce(split is null or split in ('TRAIN', 'VALIDATION'), false) then 'split' end, case when not coalesce(len(group_ids) > 0, false) then 'groups' end) as reasons from decided) select task_id, reasons from r where reasons <> ''"""
+ case when not coalesce(split is null or split in ('TRAIN', 'VALIDATION'), false) then 'split' end, case when not coalesce(len(group_ids) > 0, false) then 'groups' end,
+ case when not coalesce(len(list_filter(group_ids, lambda e: e is null or e <> regexp_replace(e, '^\\s+|\\s+$', '', 'g') or e = '')) = 0, false) then 'entries' end) as reasons from decided) select task_id, reasons from r where reasons <> ''"""
 
 
 def group_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,18 +224,19 @@ select domain, db_match, count(*) as replays, count(*) filter (len(replay_errors
 
 
 def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Field by field, the decisions that hold against the first decisions of each task."""
-    rows = read(spark, sf_dir, "quality_decisions").where("task_id is not null")
-    fields = ["status", "disposition", "split"]
-    first = rows.groupBy("task_id").agg(F.min_by(F.struct(*fields), F.struct("decided_at", "ingested_at")).alias("v")).select("task_id", *[f"v.{f}" for f in fields])
-    held = governance.latest(rows, "task_id", values=fields).select("task_id", *fields)
-    return diff.diff_tables(first, held, ["task_id"], fields)
+    """Field by field, the decisions that hold against the first decisions of each candidate."""
+    rows = read(spark, sf_dir, "candidate_decisions").where("candidate_id is not null")
+    fields = ["status", "quality_label", "disposition", "split", "group_ids"]
+    first = rows.groupBy("candidate_id").agg(F.min_by(F.struct(*fields), F.struct("decided_at", "ingested_at")).alias("v")).select("candidate_id", *[f"v.{f}" for f in fields])
+    held = governance.latest(rows, "candidate_id", values=fields).select("candidate_id", *fields)
+    return diff.diff_tables(first, held, ["candidate_id"], fields)
 
 
-TABLE_DIFF = """with r as (select *, row_number() over (partition by task_id order by decided_at, ingested_at) as f, row_number() over (partition by task_id order by decided_at desc, ingested_at desc) as l from quality_decisions where task_id is not null),
+TABLE_DIFF = """with r as (select *, row_number() over (partition by candidate_id order by decided_at, ingested_at) as f, row_number() over (partition by candidate_id order by decided_at desc, ingested_at desc) as l from candidate_decisions where candidate_id is not null),
  a as (select * from r where f = 1), b as (select * from r where l = 1), u as (
- select task_id, 'status' as field, a.status as left_value, b.status as right_value from a join b using (task_id) union all select task_id, 'disposition', a.disposition, b.disposition from a join b using (task_id) union all select task_id, 'split', a.split, b.split from a join b using (task_id))
-select task_id, field, 'DIFFERENT' as diff_kind, left_value, right_value from u where left_value is distinct from right_value"""
+""" + " union all ".join(f"select candidate_id, '{f}' as field, {v.format(t='a', f=f)} as left_value, {v.format(t='b', f=f)} as right_value from a join b using (candidate_id)"
+                         for f, v in (("status", "{t}.{f}"), ("quality_label", "{t}.{f}"), ("disposition", "{t}.{f}"), ("split", "{t}.{f}"), ("group_ids", "to_json({t}.{f})::varchar"))) + """)
+select candidate_id, field, 'DIFFERENT' as diff_kind, left_value, right_value from u where left_value is distinct from right_value"""
 
 
 QUERIES = {f.__name__: (f, globals()[f.__name__.upper()]) for f in (

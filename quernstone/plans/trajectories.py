@@ -133,7 +133,7 @@ def compact_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.compact(_events(spark, sf_dir))
 
 
-COMPACT_TRAJECTORY = f"""with {EVENTS} select candidate_id, printf('E%03d', msg_index) as label, role, case when role = 'tool' then coalesce(tool_call_id, '') when len(tool_calls) > 0 then array_to_string(list_transform(tool_calls, c -> c.name), ',')
+COMPACT_TRAJECTORY = f"""with {EVENTS} select candidate_id, printf('E%03d', msg_index) as label, role, case when role = 'tool' then coalesce(tool_call_id, '') when len(tool_calls) > 0 then array_to_string([c.name for c in tool_calls], ',')
  else coalesce(content, '') end as body from ev"""
 
 
@@ -262,8 +262,8 @@ TEXT_EXCERPT = "select doc_id, case when length(text) <= 1200 then text else sub
 
 # --- trials of the same task -----------------------------------------------------------------
 
-TRIALS = EVENTS + """, per as (select candidate_id, min(task_id) as task_id, count(*) filter (coalesce(tool_error, false)) as errors, count(*) filter (len(tool_calls) > 0) as turns, count(*) as messages from ev where task_id is not null group by candidate_id),
- trials as (select *, errors = 0 as success, row_number() over (partition by task_id order by candidate_id) as nth from per)"""
+TRIALS = EVENTS + """, of_candidate as (select candidate_id, min(task_id) as task_id, count(*) filter (coalesce(tool_error, false)) as errors, count(*) filter (len(tool_calls) > 0) as turns, count(*) as messages from ev where task_id is not null group by candidate_id),
+ trials as (select *, errors = 0 as success, row_number() over (partition by task_id order by candidate_id) as nth from of_candidate)"""
 
 
 def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
