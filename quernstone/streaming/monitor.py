@@ -35,6 +35,7 @@ def error_windows(events: DataFrame, late: str = "3 days", size: str = "1 hour")
     return counted.select(F.col("w.start").alias("window_start"), "run_id", "results", "errors")
 
 
+DAY_MS = 24 * 3_600_000
 STATE = "signatures array<string>, events array<bigint>"
 ALERT = "candidate_id string, event_id bigint, name string, times int"
 
@@ -55,7 +56,7 @@ def _repeats(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
         if times:
             alerts.append((key[0], int(event), name, times + 1))
     state.update((signatures, sorted(known)))
-    state.setTimeoutDuration(24 * 3_600_000)
+    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + DAY_MS)
     if alerts:
         yield pd.DataFrame(alerts, columns=["candidate_id", "event_id", "name", "times"])
 
@@ -67,12 +68,13 @@ def _guarded(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
     yield from _repeats(key, batches, state)
 
 
-def repeated_calls(events: DataFrame) -> DataFrame:
+def repeated_calls(events: DataFrame, late: str = "3 days") -> DataFrame:
     """Alerts (candidate_id, event_id, name, times) from a stream: calls repeated with the same arguments.
 
-    The state of a conversation are the calls it made, and ends a day after its last event; redelivered
-    events are told by their id and don't count.
+    The state of a conversation are the calls it made, and ends once event time is a day past the watermark
+    at its last event; redelivered events are told by their id and don't count.
     """
-    made = events.select("candidate_id", "event_id", "msg_index", F.posexplode("tool_calls").alias("pos", "c")).select(
-        "candidate_id", "event_id", "msg_index", "pos", F.col("c.name").alias("name"), F.concat_ws(":", "c.name", "c.arguments").alias("signature"))
-    return made.groupBy("candidate_id").applyInPandasWithState(_guarded, ALERT, STATE, "append", "ProcessingTimeTimeout")
+    timed = events.withColumn("at", F.col("recorded_at").cast("timestamp")).withWatermark("at", late)
+    made = timed.select("at", "candidate_id", "event_id", "msg_index", F.posexplode("tool_calls").alias("pos", "c")).select(
+        "candidate_id", "event_id", "msg_index", "pos", "at", F.col("c.name").alias("name"), F.concat_ws(":", "c.name", "c.arguments").alias("signature"))
+    return made.groupBy("candidate_id").applyInPandasWithState(_guarded, ALERT, STATE, "append", "EventTimeTimeout")

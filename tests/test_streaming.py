@@ -1,14 +1,15 @@
+import datetime
+
 from quernstone import schema
 from quernstone.streaming import monitor
 
 
 def run(query, name, mode="append"):
-    q = query.writeStream.outputMode(mode).format("memory").queryName(name).start()
+    q = query.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(90)
     finally:
         q.stop()
-    return q
 
 
 def test_windows_of_a_stream_and_a_batch(spark, sf, tmp_path):
@@ -22,7 +23,8 @@ def test_windows_of_a_stream_and_a_batch(spark, sf, tmp_path):
 
 def test_repeated_calls(spark, tmp_path):
     call = [("c", "cancel", "{}")]
-    event = lambda i, calls: (i, "a", "r", "t", 1, i, "assistant", None, calls, None, None, "s", None, None)
+    at = datetime.datetime(2031, 1, 1)
+    event = lambda i, calls: (i, "a", "r", "t", 1, i, "assistant", None, calls, None, None, "s", at, at)
     rows = [event(1, call), event(2, None), event(3, call), event(3, call), event(4, [("d", "get", "{}")])]
     for k, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, schema.EVENT).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
