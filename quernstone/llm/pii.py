@@ -285,9 +285,11 @@ class Tagger(dict):
         """(text's index, [(label, first token, token after)]) of the texts with entities; see tokens()."""
         self.lists = [TOKEN.findall(t) for t in texts]
         lengths = np.fromiter(map(len, self.lists), np.int64, len(texts))
+        if not lengths.sum():
+            return []
         pad = len(OFFSETS) // 2 + 1  # between texts, so that no text sees its neighbours
         starts = np.cumsum(lengths + pad) - lengths
-        total = int(starts[-1] + lengths[-1] + pad) if len(texts) else 0
+        total = int(starts[-1] + lengths[-1] + pad)
         flat = np.fromiter(map(self.__getitem__, chain.from_iterable(self.lists)), np.int64, int(lengths.sum()))
         self._prepare()
         inside = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(flat))

@@ -49,6 +49,7 @@ SEPARATORS = str.maketrans({c: " " for c in ".,;:!?()[]{}\"'|/<>*·»–—-=。
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 UNIT_ENDS = re.compile(r"[.!?;](?=[ \t])|[\r\n\u2028\u2029]+|[。！？；]")
 LINK = re.compile(r"https?://|www\.|href=|\]\(|[a-z0-9-]\.[a-z]{2,8}/\S", re.I)
+TAG = re.compile(r"(?:^|\s)#\w")
 #: A link in brackets that follows a sentence in its line.
 CITATION = re.compile(r"[ \t]+\((?:https?:|www\.)\S+\)\s*$")
 #: Lines of logs and records: a step's number, or a key with a short value that is no link.
@@ -131,7 +132,7 @@ def loose_units(text: str) -> tuple[list[tuple[int, int, bool]], int]:
         if not has_clause(words[start:end]):
             unit = text[start:end]
             if unit.strip():
-                listed = bool(LINK.search(unit)) or unit.count("#") * 3 >= len(unit.split())
+                listed = bool(LINK.search(unit)) or len(TAG.findall(unit)) * 3 >= len(unit.split())
                 if CITATION.match(unit) if listed else RECORD.match(unit):
                     pass
                 else:
