@@ -49,7 +49,7 @@ def json_lines(spark: SparkSession, path: str, row_schema) -> tuple[DataFrame, D
 
 def predictions(spark: SparkSession, path: str, row_schema) -> DataFrame:
     """Rows of a JSON file that is a list or an object with the list under `results`."""
-    v = spark.read.option("wholetext", True).text(path).select(F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("v"))
+    v = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("v"))
     text = F.coalesce(F.to_json(F.try_variant_get("v", "$.results", "variant")), F.to_json("v"))
     from pyspark.sql import types as T
 
@@ -70,7 +70,7 @@ def step_logs(spark: SparkSession, path: str) -> DataFrame:
 
     Roles are the last part of `From role: Role.X` in lower case, agent as assistant and env as tool.
     """
-    logs = spark.read.option("wholetext", True).text(path).select(file_path().alias("path"), "value")
+    logs = spark.read.text(path, wholetext=True).select(file_path().alias("path"), "value")
     parts = logs.select("path", F.explode(F.slice(F.split("value", r"(?m)^(?=Step \d+\.)"), 1, 2_000_000_000)).alias("part")).where(F.col("part").rlike(r"^Step \d+\."))
     role = F.lower(F.regexp_extract("part", r"From role: (?:Role\.)?(\w+)", 1))
     role = F.when(role == "agent", "assistant").when(role.isin("env", "environment"), "tool").otherwise(role)
@@ -80,7 +80,7 @@ def step_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def logged_calls(spark: SparkSession, path: str) -> DataFrame:
     """Tool calls of text logs: (path, step, position, call_id, name, arguments); arguments null if they aren't JSON."""
-    logs = spark.read.option("wholetext", True).text(path).select(file_path().alias("path"), "value")
+    logs = spark.read.text(path, wholetext=True).select(file_path().alias("path"), "value")
     parts = logs.select("path", F.explode(F.split("value", r"(?m)^(?=Step \d+\.)")).alias("part")).where(F.col("part").rlike(r"^Step \d+\."))
     found = F.regexp_extract_all("part", F.lit(r"(?m)^ToolCall \(from \w+\)\s*\nid: (.*)\nname: (.*)\narguments: (.*)$"), F.lit(0))
     rows = parts.select("path", F.regexp_extract("part", r"^Step (\d+)", 1).cast("int").alias("step"), F.posexplode(found).alias("position", "c"))
@@ -91,8 +91,8 @@ def logged_calls(spark: SparkSession, path: str) -> DataFrame:
 
 def debug_dumps(spark: SparkSession, path: str) -> DataFrame:
     """Messages of debug dumps (request.messages with the response as the last one): (path, msg_index, role, content)."""
-    kind = "struct<request: struct<messages: array<struct<role: string, content: string>>>, response: struct<role: string, content: string>>"
-    rows = spark.read.schema(kind.removeprefix("struct<").removesuffix(">")).option("multiLine", True).json(path)
+    kind = "request struct<messages: array<struct<role: string, content: string>>>, response struct<role: string, content: string>"
+    rows = spark.read.schema(kind).option("multiLine", True).json(path)
     answer = F.struct(F.coalesce("response.role", F.lit("assistant")).alias("role"), F.col("response.content").alias("content"))
     every = F.concat(F.coalesce("request.messages", F.array().cast("array<struct<role: string, content: string>>")), F.when(F.col("response").isNotNull(), F.array(answer)).otherwise(F.array().cast("array<struct<role: string, content: string>>")))
     return rows.select(file_path().alias("path"), F.posexplode(every).alias("msg_index", "m")).select("path", "msg_index", "m.role", "m.content")
@@ -109,7 +109,7 @@ def newest_source(spark: SparkSession, root: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str, line_ends: bool = False) -> DataFrame:
     """(path, sha256): upper-case digest of each file's bytes, or of its text with line ends made equal."""
     if line_ends:
-        rows = spark.read.option("wholetext", True).text(path).select(file_path().alias("path"), F.encode(F.regexp_replace("value", "\r\n", "\n"), "UTF-8").alias("content"))
+        rows = spark.read.text(path, wholetext=True).select(file_path().alias("path"), F.encode(F.regexp_replace("value", "\r\n", "\n"), "UTF-8").alias("content"))
     else:
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return rows.select("path", F.upper(F.sha2("content", 256)).alias("sha256"))
