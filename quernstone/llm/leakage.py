@@ -1,16 +1,12 @@
 """Problem 4: the same or nearly the same records in training and in evaluation.
 
-Method: winnowing fingerprints. Of every WINDOW consecutive rolling hashes of a text's word shingles the
-smallest is selected, the rightmost of equals, so any run of words that two texts share and that is a
-window long gives a seed to both. Selected hashes are joined across the splits, seeds of a pair that keep
-their order are chained, the chain is extended word by word on both sides, and the covered words are
-reported per record and source. A pair is linked if the shingle sets of its two texts have `threshold`
-of their union in common, which is checked exactly.
-
-A hash that many records of both splits hold would join all of them: it is a phrase, not a copy. Such
-hot hashes are replaced by the hash of CHAINS[i] selected hashes in a row, longer chains where
-shorter ones are still hot; the longest are joined however many records hold them, as records that
-share so much are the result. Equal texts are collapsed before, and expanded in the result alone.
+Method: the shingle sets of the different texts are joined across the splits by prefix and position
+filters (set_join), which miss no pair of the similarity asked for, however many records share a phrase
+and however large the table is. A pair is linked if its sets have `threshold` of their union in common,
+which is checked exactly. Linked pairs are aligned: winnowing selects of every WINDOW consecutive hashes
+of a text's word shingles the smallest, the rightmost of equals; selected hashes of both that keep their
+order are chained, the chain is extended word by word on both sides, and the covered words are reported
+per record and source. Equal texts are collapsed before, and expanded in the result alone.
 """
 
 from __future__ import annotations
@@ -22,17 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm import set_join
 from quernstone.llm.consensus import stripped
-from quernstone.llm.shingles import mix, shingle_hashes, word_hashes
+from quernstone.llm.shingles import shingle_hashes, word_hashes
 from quernstone.runtime import materialize, spread
 
 WIDTH, WINDOW = 3, 4
-#: Selected hashes in a row that seeds are made of.
-CHAINS = (1, 3, 6, 12)
-#: Pairs of a seed's records up to which it is joined.
-COLD = 144
-#: Share of their cold seeds that two records must have in common, if they share several, and if they share one.
-SHARED, SHARED_ALONE = 0.12, 0.4
+#: Bits of the sides that a text is on.
+TRAIN, EVALUATION = 1, 2
 #: Pairs of candidates of one task that a partition makes, at most.
 PAIRS_A_TASK = 2_000_000
 
@@ -71,53 +64,26 @@ def scenarios(tasks: DataFrame) -> DataFrame:
         F.max_by("text", F.struct("created_at", "ingested_at", "text")).alias("text"))
 
 
-def fingerprints(texts: DataFrame) -> DataFrame:
-    """(text_id, words, seeds array<array<bigint>>) of (text_id, text): seeds of each chain length."""
+def word_sets(texts: DataFrame) -> DataFrame:
+    """(text_id, sides, words, shingles) of (text_id, text, sides): hashes in order, and those of the distinct shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, seeds = [], []
-            for text in batch.column(1).to_pylist():
-                w = word_hashes(text)
-                h = shingle_hashes(w, WIDTH)
-                picked = h[winnow(h)]
-                rows = []
-                for length in CHAINS:
-                    chain = picked[: max(0, len(picked) - length + 1)]
-                    for i in range(1, length):
-                        chain = mix(chain) + picked[i : len(picked) - length + 1 + i]
-                    rows.append(np.unique(chain).view(np.int64).tolist())
-                words.append(w.view(np.int64).tolist())
-                seeds.append(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.list_(pa.int64())))], names=["text_id", "words", "seeds"])
-
-    return spread(texts.select("text_id", "text")).mapInArrow(run, "text_id bigint, words array<bigint>, seeds array<array<bigint>>")
-
-
-def seed_pairs(prints: DataFrame) -> DataFrame:
-    """Distinct (train, evaluation) pairs of text ids that share seeds, from (text_id, seeds, in_train, in_eval).
-
-    Of the seeds that few records hold a pair must share several, and SHARED of those that either has,
-    or SHARED_ALONE; a single phrase in common is no trace of a copy.
-    """
-    out = None
-    for i in range(len(CHAINS)):
-        last = i == len(CHAINS) - 1
-        posts = prints.select("text_id", "in_train", "in_eval", F.explode(F.col("seeds")[i]).alias("seed"))
-        counts = posts.groupBy("seed").agg(F.count_if("in_train").alias("t"), F.count_if("in_eval").alias("e")).where("t > 0 and e > 0 and t + e > 1")
-        if not last:
-            counts = counts.where(F.col("t") * F.col("e") <= COLD)
-        shared = materialize(posts.join(counts.select("seed"), "seed"), "shared")
-        own = shared.groupBy("text_id").agg(F.count("*").alias("own"))
-        counted = shared.join(own, "text_id")
-        train, evaluation = (counted.where(c).select("seed", F.col("text_id").alias(n), F.col("own").alias(f"own_{n}")) for c, n in (("in_train", "train"), ("in_eval", "evaluation")))
-        pairs = train.join(evaluation, "seed").where("train <> evaluation").groupBy("train", "evaluation").agg(
-            F.count("*").alias("n"), F.first(F.col("own_train") + F.col("own_evaluation")).alias("own"))
-        if not last:
-            share = F.col("n") / (F.col("own") - F.col("n"))
-            pairs = pairs.where((share >= SHARED_ALONE) | ((share >= SHARED) & (F.col("n") > 1)))
-        pairs = pairs.select("train", "evaluation")
-        out = pairs if out is None else out.unionAll(pairs)
-    return out.distinct()
+            words = [word_hashes(text) for text in batch.column(2).to_pylist()]
+            sets = [np.unique(shingle_hashes(w, WIDTH)) for w in words]
+            lists = [pa.array([x.view(np.int64).tolist() for x in column], pa.list_(pa.int64())) for column in (words, sets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["text_id", "sides", "words", "shingles"])
+
+    return spread(texts.select("text_id", "sides", "text")).mapInArrow(run, "text_id bigint, sides int, words array<bigint>, shingles array<bigint>")
+
+
+def text_pairs(prints: DataFrame, threshold: float) -> DataFrame:
+    """(train, evaluation) pairs of different texts: all that have the similarity, and few others."""
+    pairs = set_join.candidates(prints.select(F.col("text_id").alias("doc"), "sides", F.col("shingles").alias("tokens")), threshold)
+    pairs = materialize(pairs, "met")
+    pairs = pairs.select(F.col("a").alias("train"), F.col("b").alias("evaluation")).unionAll(pairs.select("b", "a"))
+    for side, bit in (("train", TRAIN), ("evaluation", EVALUATION)):
+        pairs = pairs.join(prints.where(F.col("sides").bitwiseAND(bit) > 0).select(F.col("text_id").alias(side)), side, "left_semi")
+    return pairs.select("train", "evaluation")
 
 
 def chain(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,12 +172,12 @@ def task_links(rows: DataFrame, tasks: DataFrame, threshold: float = 0.6) -> Dat
     sided = materialize(rows.where("task_id is not null and side is not null").groupBy("task_id").agg(
         (F.count_if(F.col("side") == "TRAIN") > 0).alias("in_train"), (F.count_if(F.col("side") == "EVALUATION") > 0).alias("in_eval")), "sided")
     texts = materialize(scenarios(tasks).join(sided, "task_id").withColumn("text_id", F.xxhash64("text")), "texts")
-    kinds = texts.groupBy("text_id").agg(F.first("text").alias("text"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
-    kinds = materialize(kinds, "kinds")
-    prints = materialize(fingerprints(kinds).join(kinds.select("text_id", "in_train", "in_eval"), "text_id"), "prints")
-    pairs = materialize(seed_pairs(prints), "pairs")
+    sides = F.when(F.max("in_train"), TRAIN).otherwise(0) + F.when(F.max("in_eval"), EVALUATION).otherwise(0)
+    kinds = materialize(texts.groupBy("text_id").agg(F.first("text").alias("text"), sides.cast("int").alias("sides")), "kinds")
+    prints = materialize(word_sets(kinds), "prints")
+    pairs = materialize(text_pairs(prints, threshold), "pairs")
     linked = compare(pairs, prints, threshold)
-    copies = prints.where("in_train and in_eval").where(F.size("words") >= WIDTH).select(
+    copies = prints.where(F.col("sides") == TRAIN + EVALUATION).where(F.size("words") >= WIDTH).select(
         F.col("text_id").alias("train"), F.col("text_id").alias("evaluation"), *[F.lit(1.0).alias(c) for c in ("similarity", "covered_train", "covered_evaluation")])
     of = texts.select("task_id", "text_id", "in_train", "in_eval")
     both = linked.unionByName(copies)

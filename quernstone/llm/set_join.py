@@ -1,0 +1,102 @@
+"""Pairs of sets with a least Jaccard similarity: candidates that miss none, at any size of the table.
+
+Method: prefix and position filters over one global order of the tokens, rare ones first. Two sets of m
+and n tokens with similarity t have at least t / (1 + t) * (m + n) tokens in common. So the first LEAST
+tokens they share come so early in both that enough of each set is left for the rest; only these places
+are joined, and a pair must be met LEAST times.
+
+Any order that is the same for all sets misses nothing; how well it puts rare tokens first only decides
+how many pairs are met in vain. It comes from counts in a sample of the sets, in a table of fixed size.
+No list of a token is cut off: a long one is cut into blocks that meet each other in separate groups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quernstone.runtime import materialize
+
+#: Shared tokens that a pair must be met by, if it needs as many at all.
+LEAST = 4
+#: Sets that the order is estimated from, and cells that their tokens are counted in.
+SAMPLE, CELLS = 20_000, 1 << 22
+#: Sets in a block of a token's list.
+BLOCK = 4_000
+#: Kept off a ceiling, so that rounding never asks for one token too many.
+TINY = 1e-9
+
+
+def _levels(sets: DataFrame, sample: int) -> np.ndarray:
+    """Of each cell eight times the logarithm of its tokens' count in one of `sample` sets, from 1; 0 for rare ones."""
+    some = sets.where(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0)
+    cells = some.select(F.explode("tokens").alias("token")).groupBy((F.col("token").cast("bigint").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    table = cells.where("n > 1").select("cell", (F.floor(F.log2("n") * 8) + 1).cast("int").alias("level")).toArrow()  # at most CELLS rows
+    levels = np.zeros(CELLS, np.uint8)
+    levels[table["cell"].to_numpy()] = np.minimum(table["level"].to_numpy(), 255)
+    return levels
+
+
+def _places(sets: DataFrame, threshold: float) -> DataFrame:
+    """(token, doc, sides, n, place, blocks): the tokens of each set that can be among the first LEAST it shares."""
+    spark = sets.sparkSession
+    sample = max(1, -(-sets.count() // SAMPLE))
+    levels = spark.sparkContext.broadcast(_levels(sets, sample))
+    least, block, cells, tiny = LEAST, BLOCK, CELLS, TINY  # by value, so that workers use this process's
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = levels.value
+        # blocks of a list by its level, from the level's upper end
+        blocks = np.ceil(np.where(np.arange(256) > 0, sample * 2.0 ** (np.arange(256) / 8), 1) / block).astype(np.int32)
+        for batch in batches:
+            flat = batch["tokens"].values.to_numpy()
+            ends = batch["tokens"].offsets.to_numpy()
+            counts, taken, places, parts = [], [], [], []
+            for i in range(batch.num_rows):
+                tokens = np.sort(flat[ends[i] : ends[i + 1]])
+                n = len(tokens)
+                level = rank[tokens & (cells - 1)]
+                first = np.argsort(level, kind="stable")[: max(0, n - int(np.ceil(threshold * n - tiny)) + least)]
+                counts.append(len(first))
+                taken.append(tokens[first])
+                places.append(np.arange(len(first), dtype=np.int32))
+                parts.append(blocks[level[first]])
+            if not sum(counts):
+                continue
+            repeat = lambda c: np.repeat(batch[c].to_numpy(), counts)  # noqa: E731, B023
+            n = np.repeat(np.diff(ends).astype(np.int32), counts)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(taken).astype(np.int64)), pa.array(repeat("doc")), pa.array(repeat("sides")), pa.array(n), pa.array(np.concatenate(places)), pa.array(np.concatenate(parts)),
+            ], names=["token", "doc", "sides", "n", "place", "blocks"])
+
+    return sets.select("doc", F.col("sides").cast("int"), "tokens").mapInArrow(run, "token bigint, doc bigint, sides int, n int, place int, blocks int")
+
+
+def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: among the sets (doc, sides, tokens of different values) all pairs with the similarity, and few others.
+
+    sides has bit 1 and bit 2; a pair has one of these in a and the other in b.
+    """
+    places = materialize(_places(sets, threshold), "places")
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(c if c in ("token", "block") else s if c == "doc" else f"{c}_{s}") for c in rows.columns])
+
+    columns = ["token", "doc", "sides", "n", "place"]
+    ordinary, hot = places.where("blocks <= 1").select(*columns), places.where("blocks > 1")
+    blocked = hot.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).select(*columns, "block")
+    met = hot.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1))).select(*columns, "block")
+    need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - TINY)
+    least = F.least(F.lit(LEAST), need)
+    left = need - least + 1
+    across = (F.col("sides_a").bitwiseAND(F.shiftleft(F.col("sides_b").bitwiseAND(1), 1)) + F.col("sides_a").bitwiseAND(F.shiftright("sides_b", 1))) > 0
+    near = (F.col("a") < F.col("b")) & (F.col("n_a") - F.col("place_a") >= left) & (F.col("n_b") - F.col("place_b") >= left) & across
+    pairs = None
+    for x, y, keys in ((ordinary, ordinary, ["token"]), (blocked, met, ["token", "block"])):
+        found = side(x, "a").join(side(y, "b").hint("merge"), keys).where(near).select("a", "b", least.cast("int").alias("least"))
+        pairs = found if pairs is None else pairs.unionAll(found)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("least").alias("least")).where("met >= least").select("a", "b")

@@ -269,6 +269,36 @@ def test_leaking_pairs(spark):
     assert leakage.leaking_pairs(empty, leakage.task_links(empty, tasks)).count() == 0
 
 
+def brute_pairs(texts, threshold=0.6, width=3):
+    sets = {}
+    for c, t in texts.items():
+        w = shingles.WORD.findall(t.lower())
+        sets[c] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+    names = sorted(c for c in sets if sets[c])
+    return {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+
+
+def linked_tasks(spark, texts):
+    """The links found between tasks named t... (training) and e... (evaluation), and all that there are."""
+    tasks = spark.createDataFrame([(c, t) for c, t in texts.items()], "task_id string, reason_for_call string").selectExpr(
+        "*", "cast(null as string) known_info", "cast(null as string) task_instructions", "cast(null as timestamp) created_at", "cast(null as timestamp) ingested_at")
+    sided = spark.createDataFrame([(c, c, "TRAIN" if c[0] == "t" else "EVALUATION") for c in texts], "candidate_id string, task_id string, side string")
+    got = {(r["evaluation_task"], r["train_task"]) for r in leakage.task_links(sided, tasks).collect()}
+    return got, {(a, b) for a, b in brute_pairs(texts) if a[0] == "e" and b[0] == "t"}
+
+
+@pytest.mark.parametrize("block", [4_000, 30])
+def test_links_inside_a_mass_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(leakage.set_join, "BLOCK", block)
+    r = random.Random(7)
+    texts = {f"{'te'[j % 2]}x{j}": " ".join(r.choice(WORDS) for _ in range(r.choice((3, 5, 126)))) for j in range(260)}
+    for name, length, share in (("long", 126, 0.04), ("short", 30, 0.05), ("tiny", 5, 0.1)):  # hot groups
+        base = [r.choice(WORDS) for _ in range(length)]
+        texts |= {f"{'te'[j % 2]}{name}{j}": edited(r, base, share) for j in range(160 if length > 30 else 60)}
+    got, want = linked_tasks(spark, texts)
+    assert got == want and len(want) > 3_000
+
+
 # --- personal information --------------------------------------------------------------------
 
 
