@@ -1,21 +1,16 @@
 """Problem 3: groups of records that share most of their content.
 
-Method: bottom-k sketches from one hash function.
-
-1. Each record's shingles are hashed once; its sketch are the K smallest of the distinct hashes.
-   Records with equal sets are copies and are represented by one of them from here on.
-2. Inverted lists of the retained values generate candidates. Two records with the least similarity that
-   counts share about 0.6 K retained values, among them some that few others hold, so lists of at most
-   RARE records give all of their pairs, with the number of lists a pair shares. Longer lists would give
-   quadratically many pairs, nearly all of them strangers that share a phrase. They are split: the hash
-   of each RUN retained values that follow each other in a sketch is a value of its own with its own,
-   much shorter list. A list of runs that is still long is a mass of near-copies; its records are compared
-   with its first and last record, which is linear, and so grow together through these.
-3. The sketch of a candidate pair's union estimates its similarity; pairs far below the threshold go.
-4. The exact Jaccard similarity of the whole sets decides. Linked records are grouped by hooking and
-   pointer jumping.
-
-No list is cut off and no record dropped: a long list only changes which pairs stand for it.
+Method: an exact join of sets.
+
+1. Each record's shingles are hashed once. Records with equal sets are copies and are represented by one
+   of them from here on.
+2. Prefix and position filters over one global order of the shingles, rare ones first, give every pair
+   that can have the least similarity that counts (set_join). A shingle that many records hold comes late
+   in all of them, and its list, if it is met at all, is cut into blocks that all meet each other.
+3. The exact Jaccard similarity of the whole sets decides. Linked records are grouped by hooking and
+   pointer jumping, and their links are counted.
+
+No list is cut off and no record dropped, so no link between different texts is missed.
 """
 
 from __future__ import annotations
@@ -29,26 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.components import connected
+from quernstone.llm.set_join import BOTH, candidates
 from quernstone.llm.shingles import mix, shingle_hashes, word_hashes
 from quernstone.runtime import materialize
 
-#: Retained values of a sketch.
-K = 72
-#: Longest list whose pairs are all generated.
-RARE = 16
-#: Values that follow each other in a sketch and are hashed together; runs kept of a record, the smallest ones.
-RUN, RUNS_KEPT = 3, 8
-#: Share of their short lists that a pair must have in common, if it shares several, and if it shares one.
-SHARED_RARE, SHARED_ALONE = 0.15, 0.5
-#: Standard deviations that the estimate may fall short of the threshold.
-MARGIN = 5.0
-
-
 def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
-    """(candidate_id, doc, n, digest, sketch, runs, shingles): the sets of all conversations.
+    """(candidate_id, doc, n, digest, shingles): the sets of all conversations.
 
-    sketch and runs hold 64-bit values; shingles, for estimate and verification, the upper 31 bits in
-    order: within one pair of conversations these are as good as distinct.
+    shingles holds the upper 31 bits of the hashes in order: within one pair of conversations these are
+    as good as distinct.
 
     A conversation's text are the contents of its user and assistant messages by msg_index, each event_id
     once, joined by a space; shingles never depend on where messages end. Rows come sorted by
@@ -63,7 +47,7 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
         .select("candidate_id", "msg_index", "event_id", "content")
     )
     ordered = rows.repartition("candidate_id").sortWithinPartitions("candidate_id", "msg_index", "event_id")
-    out = pa.schema([("candidate_id", pa.string()), ("doc", pa.int64()), ("n", pa.int32()), ("digest", pa.int64()), ("sketch", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int32()))])
+    out = pa.schema([("candidate_id", pa.string()), ("doc", pa.int64()), ("n", pa.int32()), ("digest", pa.int64()), ("shingles", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = TaskContext.get().partitionId() << 33
@@ -74,16 +58,8 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
             nonlocal doc
             words = word_hashes(" ".join(parts))
             values = np.unique(shingle_hashes(words, width))
-            sketch = values[:K]
-            if len(sketch) >= RUN:
-                runs = sketch[: len(sketch) - RUN + 1]
-                for i in range(1, RUN):
-                    runs = mix(runs) ^ sketch[i : len(sketch) - RUN + 1 + i]
-                runs = np.sort(mix(runs))[:RUNS_KEPT]
-            else:
-                runs = sketch[:0]
             digest = np.bitwise_xor.reduce(mix(values)) if len(values) else np.uint64(0)
-            made.append((name, doc, len(values), digest.view(np.int64), sketch.view(np.int64), runs.view(np.int64), np.unique(values >> np.uint64(33)).astype(np.int32)))
+            made.append((name, doc, len(values), digest.view(np.int64), np.unique(values >> np.uint64(33)).astype(np.int32)))
             doc += 1
 
         def lists(column: int, kind: pa.DataType) -> pa.Array:
@@ -94,7 +70,7 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in made], pa.string()), pa.array([r[1] for r in made], pa.int64()), pa.array([r[2] for r in made], pa.int32()),
-                pa.array([int(r[3]) for r in made], pa.int64()), lists(4, pa.int64()), lists(5, pa.int64()), lists(6, pa.int32()),
+                pa.array([int(r[3]) for r in made], pa.int64()), lists(4, pa.int32()),
             ], schema=out)
             made.clear()
             return batch
@@ -115,24 +91,7 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
         if made:
             yield flush()
 
-    return ordered.mapInArrow(run, "candidate_id string, doc bigint, n int, digest bigint, sketch array<bigint>, runs array<bigint>, shingles array<int>")
-
-
-def _candidates(postings: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with a < b that the inverted lists give, from (value, doc); odd values are runs."""
-    lists = postings.groupBy("value").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
-    lists = materialize(lists.where(f"n > 1 and (n <= {RARE} or value & 1 = 1)"), "lists")
-    entries = materialize(postings.join(lists, "value"), "entries")
-    short = entries.where(f"n <= {RARE}")
-    own = short.groupBy("doc").agg(F.count("*").alias("own"))  # how many short lists each record is in
-    members = short.select("value", "doc").join(own, "doc").groupBy("value").agg(F.sort_array(F.collect_list(F.struct("doc", "own"))).alias("docs"))  # at most RARE
-    pairs = members.select(F.posexplode("docs").alias("i", "a"), "docs").select("a", F.explode(F.expr("slice(docs, i + 2, size(docs))")).alias("b"))
-    counts = pairs.groupBy(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).agg(F.count("*").alias("shared"), F.first(F.col("a.own") + F.col("b.own")).alias("own"))
-    share = F.col("shared") / (F.col("own") - F.col("shared"))
-    kept = counts.where((share >= SHARED_ALONE) | ((share >= SHARED_RARE) & (F.col("shared") > 1))).select("a", "b")
-    # long lists of runs: each record with the list's first and last one
-    spokes = entries.where(f"n > {RARE}").select("doc", F.explode(F.array("first", "last")).alias("hub")).where("doc <> hub")
-    return kept.unionAll(spokes.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))).distinct()
+    return ordered.mapInArrow(run, "candidate_id string, doc bigint, n int, digest bigint, shingles array<int>")
 
 
 def _with_sides(pairs: DataFrame, sets: DataFrame, *columns) -> DataFrame:
@@ -145,17 +104,8 @@ def _with_sides(pairs: DataFrame, sets: DataFrame, *columns) -> DataFrame:
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): linked pairs, with a < b, among the records (doc, n, sketch, runs, shingles) with different sets."""
-    # the lowest bit tells values of sketches and of runs apart
-    values = F.concat(F.transform("sketch", lambda v: v.bitwiseAND(F.lit(-2))), F.transform("runs", lambda v: v.bitwiseOR(F.lit(1))))
-    postings = sets.select("doc", F.explode(values).alias("value"))
-    candidates = materialize(_candidates(postings), "candidates")
-    # the K smallest values of the union, and how many of them both have; shingles begin with the sketch, shortened
-    union = F.slice(F.array_sort(F.array_union("short_a", "short_b")), 1, K)
-    estimate = F.size(F.array_intersect(F.array_intersect(union, "short_a"), "short_b")) / F.size(union)
-    least = threshold - MARGIN * (threshold * (1 - threshold) / K) ** 0.5
-    sized = _with_sides(candidates, sets, F.slice("shingles", 1, K).alias("short"), "n")
-    close = materialize(sized.where((estimate >= least) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))).select("a", "b"), "close")
+    """(a, b, similarity): all linked pairs, with a < b, among the records (doc, shingles) with different sets."""
+    close = materialize(candidates(sets.select("doc", F.lit(BOTH).alias("sides"), F.col("shingles").alias("tokens")), threshold), "close")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     exact = _with_sides(close, sets, "shingles").select("a", "b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
     return exact.where(F.col("similarity") >= threshold)
@@ -173,7 +123,7 @@ def conversation_groups(messages: DataFrame, threshold: float = 0.6, width: int
     of = materialize(full.select("candidate_id", "doc", "digest", "n").join(kinds, ["digest", "n"]).select("candidate_id", "doc", "rep", "same"), "members")
     # a table of their own, so that its size decides how the sets are filtered
     copies = materialize(of.where("same > 1 and doc <> rep").select("doc"), "copies")
-    distinct = sets.where("n > 0").join(copies, "doc", "left_anti")
+    distinct = full.join(copies, "doc", "left_anti")
     links = materialize(similar_sets(distinct, threshold), "links")
     groups = connected(links).select(F.col("node").alias("rep"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))

@@ -23,6 +23,8 @@ from quernstone.runtime import materialize
 
 #: Shared tokens that a pair must be met by, if it needs as many at all.
 LEAST = 4
+#: Sides of a set that is joined with all others.
+BOTH = 3
 #: Sets that the order is estimated from, and cells that their tokens are counted in.
 SAMPLE, CELLS = 20_000, 1 << 22
 #: Sets in a block of a token's list.

@@ -228,6 +228,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert ("copy1", "copy2") in got and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_originals_with_many_edited_copies(spark):
+    r = random.Random(5)
+    texts = []
+    for name, share in (("a", 0.07), ("b", 0.085)):  # each near its original, to most others it isn't
+        base = [f"{name}{r.randrange(5_000)}" for _ in range(300)]
+        copies = [" ".join(w if r.random() > share else f"x{r.randrange(5_000)}" for w in base) for _ in range(220)]
+        texts += [(f"{name}{j:03d}", t) for j, t in enumerate([" ".join(base), *copies])]
+    groups = near_duplicates.conversation_groups(messages(spark, texts))
+    got = {tuple(x) for x in near_duplicates.group_pairs(groups).collect()}
+    assert got == brute_groups(texts, 0.6) and len(got) > 30_000
+
+
 def test_conversations_are_joined_in_order_once(spark):
     kind = "event_id bigint, candidate_id string, msg_index int, role string, content string"
     data = [(2, "a", 1, "assistant", "three four"), (1, "a", 0, "user", "one two"), (1, "a", 0, "user", "one two"), (3, "a", 2, "tool", "never"), (4, "b", 0, "user", "one two three four"), (5, "b", 1, "user", None), (6, None, 0, "user", "x y z")]
