@@ -31,8 +31,7 @@ from quernstone.runtime import materialize
 def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
     """(candidate_id, doc, n, digest, shingles): the sets of all conversations.
 
-    shingles holds the upper 31 bits of the hashes in order: within one pair of conversations these are
-    as good as distinct.
+    shingles holds all 64 bits of the hashes: with fewer, chance equals within a pair count as links.
 
     A conversation's text are the contents of its user and assistant messages by msg_index, each event_id
     once, joined by a space; shingles never depend on where messages end. Rows come sorted by
@@ -47,7 +46,7 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
         .select("candidate_id", "msg_index", "event_id", "content")
     )
     ordered = rows.repartition("candidate_id").sortWithinPartitions("candidate_id", "msg_index", "event_id")
-    out = pa.schema([("candidate_id", pa.string()), ("doc", pa.int64()), ("n", pa.int32()), ("digest", pa.int64()), ("shingles", pa.list_(pa.int32()))])
+    out = pa.schema([("candidate_id", pa.string()), ("doc", pa.int64()), ("n", pa.int32()), ("digest", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = TaskContext.get().partitionId() << 33
@@ -59,7 +58,7 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
             words = word_hashes(" ".join(parts))
             values = np.unique(shingle_hashes(words, width))
             digest = np.bitwise_xor.reduce(mix(values)) if len(values) else np.uint64(0)
-            made.append((name, doc, len(values), digest.view(np.int64), np.unique(values >> np.uint64(33)).astype(np.int32)))
+            made.append((name, doc, len(values), digest.view(np.int64), values.view(np.int64)))
             doc += 1
 
         def lists(column: int, kind: pa.DataType) -> pa.Array:
@@ -70,7 +69,7 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in made], pa.string()), pa.array([r[1] for r in made], pa.int64()), pa.array([r[2] for r in made], pa.int32()),
-                pa.array([int(r[3]) for r in made], pa.int64()), lists(4, pa.int32()),
+                pa.array([int(r[3]) for r in made], pa.int64()), lists(4, pa.int64()),
             ], schema=out)
             made.clear()
             return batch
@@ -91,7 +90,7 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
         if made:
             yield flush()
 
-    return ordered.mapInArrow(run, "candidate_id string, doc bigint, n int, digest bigint, shingles array<int>")
+    return ordered.mapInArrow(run, "candidate_id string, doc bigint, n int, digest bigint, shingles array<bigint>")
 
 
 def _with_sides(pairs: DataFrame, sets: DataFrame, *columns) -> DataFrame:
@@ -114,7 +113,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 def conversation_groups(messages: DataFrame, threshold: float = 0.6, width: int = 3) -> DataFrame:
     """(candidate_id, group_id, links, copies) of every conversation with words enough for a shingle.
 
-    group_id is the number of the group's first record; links counts the different texts its own is
+    group_id is the number of the group's first record; links counts all different texts its own is
     linked to directly, copies the other conversations with the same set.
     """
     sets = materialize(conversation_sets(messages, width), "sets")

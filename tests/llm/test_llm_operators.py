@@ -248,6 +248,20 @@ def test_conversations_are_joined_in_order_once(spark):
     assert near_duplicates.conversation_groups(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_links_counts_all_direct_links(spark):
+    r = random.Random(9)
+    base = [f"b{r.randrange(5_000)}" for _ in range(300)]
+    texts = {"base": " ".join(base)} | {f"c{j:03d}": " ".join(w if r.random() > 0.05 else f"x{r.randrange(5_000)}" for w in base) for j in range(100)}
+    want = dict.fromkeys(texts, 0)
+    for pair in brute_pairs(texts):
+        for c in pair:
+            want[c] += 1
+    texts["again"], want["again"] = texts["base"], want["base"]  # a copy adds no link
+    groups = near_duplicates.conversation_groups(messages(spark, list(texts.items())))
+    got = {x["candidate_id"]: x["links"] for x in groups.collect()}
+    assert {c: (n, want[c]) for c, n in got.items() if n != want[c]} == {} and len(got) == len(want) and max(want.values()) > 20
+
+
 # --- overlaps across splits ------------------------------------------------------------------
 
 
