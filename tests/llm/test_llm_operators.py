@@ -325,6 +325,21 @@ def test_links_inside_a_mass_of_near_copies(spark, monkeypatch, block):
     assert got == want and len(want) > 3_000
 
 
+@pytest.mark.parametrize("size", [40, 600])
+def test_links_do_not_depend_on_the_size_of_the_table(spark, monkeypatch, size):
+    monkeypatch.setattr(leakage.set_join, "SAMPLE", 100)
+    r = random.Random(3)
+    phrases = [[r.choice(WORDS) for _ in range(10)] for _ in range(8)]
+    compose = lambda: [w for _ in range(8) for w in r.choice(phrases)]
+    texts = {}
+    for j in range(30):
+        base = compose()
+        texts |= {f"tp{j}": " ".join(base), f"ep{j}": edited(r, base, 0.08)}
+    texts |= {f"{'te'[j % 2]}f{j}": " ".join(compose()) for j in range(size)}
+    got, want = linked_tasks(spark, texts)
+    assert got == want and len(want) >= 15
+
+
 # --- personal information --------------------------------------------------------------------
 
 
