@@ -1,14 +1,14 @@
 """Problem 3: groups of records that share most of their content.
 
-Method: an exact join of sets.
+Method: bottom-k sketches.
 
 1. Each record's shingles are hashed once. Records with equal sets are copies and are represented by one
    of them from here on.
-2. Prefix and position filters over one global order of the shingles, rare ones first, give every pair
-   that can have the least similarity that counts (set_join). A shingle that many records hold comes late
-   in all of them, and its list, if it is met at all, is cut into blocks that all meet each other.
-3. The exact Jaccard similarity of the whole sets decides. Linked records are grouped by hooking and
-   pointer jumping, and their links are counted.
+2. Inverted lists of the values that the sketches retain generate overlaps, and the union of two sketches
+   estimates their similarity (sketch_join). k follows the set's size and rare values are retained first,
+   so that no pair with the least similarity is lost, and the estimate is only used by its upper end.
+3. The exact Jaccard similarity of the whole sets, of 64 bits, decides. Linked records are grouped by
+   hooking and pointer jumping, and their links are counted.
 
 No list is cut off and no record dropped, so no link between different texts is missed.
 """
@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.components import connected
-from quernstone.llm.set_join import BOTH, candidates
 from quernstone.llm.shingles import mix, shingle_hashes, word_hashes
+from quernstone.llm.sketch_join import candidates
 from quernstone.runtime import materialize
 
+#: Members of a block of a group; each two blocks make their pairs in a task of their own.
+PAIR_BLOCK = 2_000
+
 def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
     """(candidate_id, doc, n, digest, shingles): the sets of all conversations.
 
@@ -104,7 +107,7 @@ def _with_sides(pairs: DataFrame, sets: DataFrame, *columns) -> DataFrame:
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): all linked pairs, with a < b, among the records (doc, shingles) with different sets."""
-    close = materialize(candidates(sets.select("doc", F.lit(BOTH).alias("sides"), F.col("shingles").alias("tokens")), threshold), "close")
+    close = materialize(candidates(sets.select("doc", F.col("shingles").alias("tokens")), threshold), "close")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     exact = _with_sides(close, sets, "shingles").select("a", "b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
     return exact.where(F.col("similarity") >= threshold)
@@ -133,8 +136,11 @@ def conversation_groups(messages: DataFrame, threshold: float = 0.6, width: int
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
-    """(candidate_id_a, candidate_id_b), a < b: all pairs within a group."""
-    several = groups.groupBy("group_id").agg(F.count("*").alias("size")).where("size > 1").select("group_id")
-    of = materialize(groups.select("candidate_id", "group_id").join(several, "group_id", "left_semi"), "grouped")
-    a, b = (of.select("group_id", F.col("candidate_id").alias(f"candidate_id_{s}")) for s in "ab")
-    return a.join(b, "group_id").where("candidate_id_a < candidate_id_b").select("candidate_id_a", "candidate_id_b")
+    """(candidate_id_a, candidate_id_b), a < b: all pairs within a group; a large group is cut into blocks that all meet."""
+    several = groups.groupBy("group_id").agg(F.count("*").alias("size")).where("size > 1")
+    blocks = F.ceil(F.col("size") / PAIR_BLOCK).cast("bigint")
+    of = groups.select("candidate_id", "group_id").join(several, "group_id").withColumn("blocks", blocks)
+    of = materialize(of.select("candidate_id", "group_id", "blocks", F.pmod(F.xxhash64("candidate_id"), "blocks").alias("own")), "grouped")
+    a = of.select("group_id", "own", F.col("candidate_id").alias("candidate_id_a"))
+    b = of.select("group_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("own"), F.col("candidate_id").alias("candidate_id_b"))
+    return a.join(b, ["group_id", "own"]).where("candidate_id_a < candidate_id_b").select("candidate_id_a", "candidate_id_b")
