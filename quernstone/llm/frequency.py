@@ -17,6 +17,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.runtime import materialize
+
 SHARE_BITS = 19
 #: Values that are counted together.
 CHUNK = 1 << 22
@@ -25,7 +27,7 @@ LEVELS = 4
 
 
 class Ranks:
-    """Levels of the frequent values: 0 for rare ones, then LEVELS for each doubling of the count."""
+    """Levels of the frequent values (as signed integers): 0 for rare ones, then LEVELS for each doubling of the count."""
 
     def __init__(self, values: np.ndarray, counts: np.ndarray):
         order = np.argsort(values)
@@ -35,6 +37,7 @@ class Ranks:
     def of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.values):
             return np.zeros(len(hashes), np.uint8)
+        hashes = hashes.view(np.int64) if hashes.dtype == np.uint64 else hashes
         at = np.minimum(np.searchsorted(self.values, hashes), len(self.values) - 1)
         return np.where(self.values[at] == hashes, self.levels[at], 0).astype(np.uint8)
 
@@ -48,7 +51,7 @@ class Ranks:
 def value_ranks(sets: DataFrame, column: str, values_of: Callable[[pa.ListArray], np.ndarray] | None = None) -> Broadcast:
     """Ranks of the values in the arrays of `column`, sent to the executors: at most 2**SHARE_BITS entries.
 
-    values_of gives the values of a column of arrays, if they are not its own.
+    values_of gives the values of a batch of the column, if they are not those of its arrays.
     """
     spark = sets.sparkSession
     bits, chunk = SHARE_BITS, CHUNK  # by value, so that workers use this process's
@@ -60,7 +63,8 @@ def value_ranks(sets: DataFrame, column: str, values_of: Callable[[pa.ListArray]
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= max(2, -(-size >> bits))
-            return pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(counts[keep].astype(np.int64))], names=["value", "n"])
+            values, counts = [None, *values[keep].tolist()], [size, *counts[keep].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["value", "n"])
 
         for batch in batches:
             values = values_of(batch.column(0)) if values_of else batch.column(0).flatten().to_numpy()
@@ -73,6 +77,8 @@ def value_ranks(sets: DataFrame, column: str, values_of: Callable[[pa.ListArray]
             yield counted()
 
     heavy = sets.select(column).mapInArrow(run, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-    total = sets.agg(F.sum(F.size(column).cast("bigint"))).first()[0] or 0
-    table = heavy.where(F.col("n") >= max(2, total >> SHARE_BITS)).toArrow()
-    return spark.sparkContext.broadcast(Ranks(table["value"].to_numpy().view(np.uint64), table["n"].to_numpy()))
+    # the rows without a value tell how many there are in all
+    heavy = materialize(heavy, "frequent")
+    total = heavy.where("value is null").agg(F.sum("n")).first()[0] or 0
+    table = heavy.where(F.col("value").isNotNull() & (F.col("n") >= max(2, -(-total >> SHARE_BITS)))).toArrow()
+    return spark.sparkContext.broadcast(Ranks(table["value"].to_numpy(), table["n"].to_numpy()))

@@ -6,16 +6,16 @@ Method: bottom-k sketches.
    of them from here on.
 2. Inverted lists of the values that the sketches retain generate overlaps, and the union of two sketches
    estimates their similarity (sketch_join). k follows the set's size and rare values are retained first,
-   so that no pair with the least similarity is lost, and the estimate is only used by its upper end.
+   so that pairs with the least similarity always meet; estimates are only used by their upper ends.
 3. The exact Jaccard similarity of the whole sets, of 64 bits, decides. Linked records are grouped by
    hooking and pointer jumping, and their links are counted.
 
-No list is cut off and no record dropped, so no link between different texts is missed.
+No list is cut off and no record dropped; a pair just at the threshold is missed once in ten million.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +24,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.components import connected
+from quernstone.llm.frequency import value_ranks
 from quernstone.llm.shingles import mix, shingle_hashes, word_hashes
-from quernstone.llm.sketch_join import candidates
+from quernstone.llm.sketch_join import SKETCH, candidates, sketch
 from quernstone.runtime import materialize
 
 #: Members of a block of a group; each two blocks make their pairs in a task of their own.
 PAIR_BLOCK = 2_000
 
-def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
-    """(candidate_id, doc, n, digest, shingles): the sets of all conversations.
-
-    shingles holds all 64 bits of the hashes: with fewer, chance equals within a pair count as links.
+def _per_conversation(messages: DataFrame, width: int, kind: str, columns: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """(candidate_id, doc, columns) of every conversation, from the distinct shingles of its text.
 
     A conversation's text are the contents of its user and assistant messages by msg_index, each event_id
     once, joined by a space; shingles never depend on where messages end. Rows come sorted by
     conversation and are read as a stream, so a conversation is held as its hashes only.
-
-    Defined cases: null contents are left out; messages of the same index are ordered by event_id; rows
-    with a null candidate_id belong to no conversation; a conversation of fewer than `width` words has
-    an empty set and no links.
     """
     rows = (
         messages.where(F.col("role").isin("user", "assistant") & F.col("candidate_id").isNotNull() & (F.length("content") > 0))
         .select("candidate_id", "msg_index", "event_id", "content")
     )
     ordered = rows.repartition("candidate_id").sortWithinPartitions("candidate_id", "msg_index", "event_id")
-    out = pa.schema([("candidate_id", pa.string()), ("doc", pa.int64()), ("n", pa.int32()), ("digest", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = TaskContext.get().partitionId() << 33
@@ -58,24 +52,13 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
 
         def close() -> None:
             nonlocal doc
-            words = word_hashes(" ".join(parts))
-            values = np.unique(shingle_hashes(words, width))
-            digest = np.bitwise_xor.reduce(mix(values)) if len(values) else np.uint64(0)
-            made.append((name, doc, len(values), digest.view(np.int64), values.view(np.int64)))
+            made.append((name, doc, *columns(np.unique(shingle_hashes(word_hashes(" ".join(parts)), width)))))
             doc += 1
 
-        def lists(column: int, kind: pa.DataType) -> pa.Array:
-            arrays = [r[column] for r in made]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), kind))
-
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in made], pa.string()), pa.array([r[1] for r in made], pa.int64()), pa.array([r[2] for r in made], pa.int32()),
-                pa.array([int(r[3]) for r in made], pa.int64()), lists(4, pa.int64()),
-            ], schema=out)
+            arrays = [_column([r[i] for r in made]) for i in range(len(made[0]))]
             made.clear()
-            return batch
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
             for candidate, event, content in zip(batch["candidate_id"].to_pylist(), batch["event_id"].to_pylist(), batch["content"].to_pylist()):
@@ -93,23 +76,65 @@ def conversation_sets(messages: DataFrame, width: int = 3) -> DataFrame:
         if made:
             yield flush()
 
-    return ordered.mapInArrow(run, "candidate_id string, doc bigint, n int, digest bigint, shingles array<bigint>")
+    schema = f"candidate_id string, doc bigint, {kind}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return ordered.mapInArrow(run, schema)
 
 
-def _with_sides(pairs: DataFrame, sets: DataFrame, *columns) -> DataFrame:
-    """The pairs (a, b) with columns of (doc, ...) of both of their records, suffixed _a and _b."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sides = materialize(sets.join(involved, "doc", "left_semi").select("doc", *columns), "sides")
-    for side in "ab":
-        pairs = pairs.join(sides.select(*[F.col(c).alias(side if c == "doc" else f"{c}_{side}") for c in sides.columns]), side)
-    return pairs
+def _column(values: list) -> pa.Array:
+    if not isinstance(values[0], np.ndarray):
+        return pa.array(values)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+
+
+def _message_shingles(width: int) -> Callable[[pa.Array], np.ndarray]:
+    def run(contents: pa.Array) -> np.ndarray:
+        return _tokens(shingle_hashes(word_hashes("\n".join(filter(None, contents.to_pylist()))), width)).astype(np.int64)
+
+    return run
+
+
+def _tokens(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
 
+def conversation_sketches(messages: DataFrame, threshold: float, width: int = 3) -> DataFrame:
+    """(candidate_id, doc, n, digest, check, SKETCH): the sketches of all conversations, and numbers that tell equal sets.
 
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): all linked pairs, with a < b, among the records (doc, shingles) with different sets."""
-    close = materialize(candidates(sets.select("doc", F.col("shingles").alias("tokens")), threshold), "close")
+    Ranks come from the counts of all messages' shingles, read in the order of the table.
+    Sketches retain the upper 32 bits of the hashes; n, digest and check come from all 64.
+
+    Defined cases: null contents are left out; messages of the same index are ordered by event_id; rows
+    with a null candidate_id belong to no conversation; a conversation of fewer than `width` words has
+    an empty set and no links.
+    """
+    spoken = messages.where(F.col("role").isin("user", "assistant") & F.col("candidate_id").isNotNull())
+    ranks = value_ranks(spoken, "content", _message_shingles(width))
+
+    def columns(values: np.ndarray) -> tuple:
+        digest, check = np.bitwise_xor.reduce(mix(values)), np.sum(mix(values ^ np.uint64(0x9E3779B97F4A7C15)))
+        kept, blocks, bits = sketch(_tokens(values), ranks.value, threshold)
+        return pa.scalar(len(values), pa.int32()), int(digest.astype(np.uint64).view(np.int64)), int(check.astype(np.uint64).view(np.int64)), kept, blocks, *map(int, bits)
+
+    return _per_conversation(messages, width, f"n int, digest bigint, check bigint, {SKETCH}", columns)
+
+
+def similar_sets(sketches: DataFrame, messages: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(a, b, similarity): all linked pairs, with a < b, among the conversations (candidate_id, doc, n, SKETCH) with different sets.
+
+    The sets of 64 bits that verify are built anew, of the candidates' conversations alone.
+    """
+    close = materialize(candidates(sketches, threshold), "close")
+    involved = close.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    named = materialize(sketches.select("doc", "candidate_id").join(involved, "doc", "left_semi"), "named")
+    again = _per_conversation(messages.join(named, "candidate_id", "left_semi"), width, "shingles array<bigint>", lambda values: (values.view(np.int64),))
+    sides = materialize(again.select("candidate_id", "shingles").join(named, "candidate_id").select("doc", "shingles"), "sides")
+    pairs = close
+    for side in "ab":
+        pairs = pairs.join(sides.select(F.col("doc").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    exact = _with_sides(close, sets, "shingles").select("a", "b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
+    exact = pairs.select("a", "b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
     return exact.where(F.col("similarity") >= threshold)
 
 
@@ -119,14 +144,14 @@ def conversation_groups(messages: DataFrame, threshold: float = 0.6, width: int
     group_id is the number of the group's first record; links counts all different texts its own is
     linked to directly, copies the other conversations with the same set.
     """
-    sets = materialize(conversation_sets(messages, width), "sets")
-    full = sets.where("n > 0")
-    kinds = full.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("same"))
-    of = materialize(full.select("candidate_id", "doc", "digest", "n").join(kinds, ["digest", "n"]).select("candidate_id", "doc", "rep", "same"), "members")
-    # a table of their own, so that its size decides how the sets are filtered
+    full = materialize(conversation_sketches(messages, threshold, width), "sketches").where("n > 0")
+    same = ["digest", "check", "n"]
+    kinds = full.groupBy(*same).agg(F.min("doc").alias("rep"), F.count("*").alias("same"))
+    of = materialize(full.select("candidate_id", "doc", *same).join(kinds, same).select("candidate_id", "doc", "rep", "same"), "members")
+    # a table of their own, so that its size decides how the sketches are filtered
     copies = materialize(of.where("same > 1 and doc <> rep").select("doc"), "copies")
     distinct = full.join(copies, "doc", "left_anti")
-    links = materialize(similar_sets(distinct, threshold), "links")
+    links = materialize(similar_sets(distinct, messages, threshold, width), "links")
     groups = connected(links).select(F.col("node").alias("rep"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     return (

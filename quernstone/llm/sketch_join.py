@@ -3,99 +3,105 @@
 1. Every value has one rank: its level of frequency, then its hash. A set's sketch are the k values of
    lowest rank, so that rare values are retained first; k grows with the set's size n, as
    n - ceil(t n) + LEAST for a similarity t. (With k and ranks that ignore both, the lists of phrases
-   from templates generate billions of overlaps, and pairs are lost.)
+   from templates generate billions of overlaps, and pairs are lost.) It also holds n, and BITS bits, one
+   of the least value of each of BITS parts of the hash space.
 2. Inverted lists: a list for each retained value. Members of a list overlap; a pair's overlap is the
    number of lists that hold both.
-3. The union of two sketches estimates the similarity: up to the last value that both retain, the two
-   sets share `met` values and have places_a + places_b - met in all; behind it they share at most what
-   is left of the smaller rest. A pair is kept if that estimate's upper end reaches t.
-
-Nothing is lost: sets with similarity t share at least t / (1 + t) of their sizes' sum, so the first
-LEAST values they share come early enough in both to be retained. The exact similarity is for the caller
-to check. No list is cut off: a long one is cut into blocks, each two of which meet in a group of its own.
+3. The sketches estimate the similarity of their union. Two sets of similarity t agree in (1 + t) / 2 of the
+   bits on average; members that agree in fewer than a pair at the threshold does but once in LOST are no
+   overlap, before anything is counted. Sets with similarity t share at least t / (1 + t) of their sizes'
+   sum, so the first LEAST values they share are retained by both, with enough of both sets behind them:
+   pairs with fewer such overlaps are dropped, which loses nothing.
+
+The exact similarity is for the caller to check. No list is cut off: a long one is cut into blocks, each two
+of which meet in a group of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import comb
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.frequency import Ranks, value_ranks
+from quernstone.llm.frequency import Ranks
 from quernstone.llm.shingles import mix
 
 #: Shared values that a pair must be met by, if it needs as many at all.
 LEAST = 4
 #: Sets in a block of a value's list.
 BLOCK = 4_000
+#: Bits of a set.
+BITS = 128
+#: Chance of a pair at the threshold to be lost by its bits, at most.
+LOST = 1e-7
 #: Kept off a ceiling, so that rounding never asks for one value too many.
 TINY = 1e-9
 
 
-def groups_of(docs: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, group, code) of the members of lists in `blocks` blocks: each two blocks, and each with itself, are a group.
+def least_agreement(threshold: float) -> int:
+    """Bits that sets at the threshold agree in but for a chance of LOST."""
+    p, chance = (1 + threshold) / 2, 0.0
+    for x in range(BITS):
+        chance += comb(BITS, x) * p**x * (1 - p) ** (BITS - x)
+        if chance > LOST:
+            return x
+    return BITS
+
+
+def bits_of(values: np.ndarray) -> np.ndarray:
+    """BITS / 64 numbers: a bit of the least scrambled value in each part of the hash space, 0 in empty ones."""
+    h = np.sort(mix(values.astype(np.uint64)))
+    part = ((h >> np.uint64(32)) * np.uint64(BITS) >> np.uint64(32)).astype(np.int64)
+    out = np.zeros(BITS, np.uint8)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    out[part[first]] = h[first] & np.uint64(1)
+    return np.packbits(out).view(np.int64)
+
 
-    code is twice the member's block, plus one in the block's own group. Two members meet in one group
-    alone if those of the same block only count in its own group.
+def sketch(tokens: np.ndarray, of: Ranks, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Retained values of a set, by rank, the blocks of their lists, and the set's bits.
+
+    Tokens are hashes of 32 bits that stand once for each value of the set: equal tokens of different
+    values are met in vain and hide nothing.
     """
-    rows = np.repeat(np.arange(len(docs)), blocks)
-    b = blocks[rows].astype(np.int64)
-    own = (mix(docs.astype(np.uint64))[rows] % b.astype(np.uint64)).astype(np.int64)
-    other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    group = np.minimum(own, other) * b + np.maximum(own, other)
-    return rows, group.astype(np.int32), (own * 2 + (own == other)).astype(np.int32)
-
-
-def inverted_lists(sets: DataFrame, threshold: float) -> DataFrame:
-    """(value, group, code, doc, n, place): the sketches' members, by value and group of blocks."""
-    ranks = value_ranks(sets, "tokens")
-    least, block, tiny = LEAST, BLOCK, TINY  # by value, so that workers use this process's
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = ranks.value
-        for batch in batches:
-            flat = batch["tokens"].flatten().to_numpy().view(np.uint64)
-            sizes = batch["tokens"].value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            levels = of.of(flat)
-            picked, places = [], []
-            for i, n in enumerate(sizes.tolist()):
-                k = n - int(np.ceil(threshold * n - tiny)) + least
-                order = np.lexsort((flat[ends[i] : ends[i + 1]], levels[ends[i] : ends[i + 1]]))[:k]
-                picked.append(ends[i] + order)
-                places.append(np.arange(len(order), dtype=np.int32))
-            counts = np.fromiter(map(len, picked), np.int64, len(picked))
-            if not counts.sum():
-                continue
-            at = np.concatenate(picked)
-            docs = np.repeat(batch["doc"].to_numpy(), counts)
-            rows, group, code = groups_of(docs, Ranks.blocks(levels[at], block))
-            values = flat[at].astype(np.uint32).view(np.int32)  # equal ends of different values are met in vain
-            n = np.repeat(sizes, counts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[rows]), pa.array(group), pa.array(code), pa.array(docs[rows]), pa.array(n[rows]), pa.array(np.concatenate(places)[rows])],
-                names=["value", "group", "code", "doc", "n", "place"])
-
-    return sets.select("doc", "tokens").mapInArrow(run, "value int, group int, code int, doc bigint, n int, place int")
-
-
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: of the sets (doc, tokens of different values) all pairs that have the similarity, and few others."""
-    lists = inverted_lists(sets, threshold)
+    values = np.sort(tokens.astype(np.int64))
+    levels = of.of(values)
+    k = len(values) - int(np.ceil(threshold * len(values) - TINY)) + LEAST
+    first = np.argsort(levels, kind="stable")[:k]
+    return values[first].astype(np.int32), Ranks.blocks(levels[first], BLOCK), bits_of(values)
+
+
+#: Columns of a sketch, besides the record's number `doc` and its size `n`.
+SKETCH = "values array<int>, blocks array<int>, " + ", ".join(f"s{k} bigint" for k in range(BITS // 64))
+
+
+def inverted_lists(sketches: DataFrame) -> DataFrame:
+    """(value, group, home, doc, n, place, s0, ...): the members of the lists, by value and group of blocks.
+
+    Each two blocks of a list, and each with itself, are a group; home tells the latter from the others.
+    """
+    bits = [f"s{k}" for k in range(BITS // 64)]
+    members = sketches.select("doc", "n", *bits, "blocks", F.posexplode("values").alias("place", "value"))
+    members = members.withColumn("of", F.get("blocks", F.col("place"))).drop("blocks")
+    members = members.select("*", F.pmod(F.xxhash64("doc"), "of").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    group = F.least("own", "other") * F.col("of") + F.greatest("own", "other")
+    return members.select("value", group.alias("group"), F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(F.col("own")).alias("home"), "doc", "n", "place", *bits)
+
+
+def candidates(sketches: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: of the sketches (doc, n, SKETCH) all pairs that have the similarity, and few others."""
+    lists = inverted_lists(sketches)
     a, b = lists.alias("a"), lists.alias("b").hint("merge")
     n_a, n_b, place_a, place_b = (F.col(c) for c in ("a.n", "b.n", "a.place", "b.place"))
     need = F.ceil(threshold / (1 + threshold) * (n_a + n_b) - TINY)
     least = F.least(F.lit(LEAST), need)
     left = need - least + 1
-    once = (F.shiftright("a.code", 1) != F.shiftright("b.code", 1)) | (F.col("a.code").bitwiseAND(1) == 1)
-    # one of the first `least` shared values leaves enough of both sets behind it
+    once = (F.col("a.home") != F.col("b.home")) | (F.col("a.home") < 0)  # members of one block count in its own group
     near = (F.col("a.doc") < F.col("b.doc")) & once & (n_a - place_a >= left) & (n_b - place_b >= left)
-    met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.group") == F.col("b.group")) & near)
-    overlaps = met.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), n_a.alias("n_a"), n_b.alias("n_b"), place_a.alias("place_a"), place_b.alias("place_b")).groupBy("a", "b").agg(
-        F.count("*").alias("met"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b"))
-    need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - TINY)
-    most = F.col("met") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
-    return overlaps.where((F.col("met") >= F.least(F.lit(LEAST), need)) & (most >= need)).select("a", "b")
+    apart = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(BITS // 64)), F.lit(0))
+    alike = apart <= BITS - least_agreement(threshold)
+    met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.group") == F.col("b.group")) & near & alike)
+    overlaps = met.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), least.cast("int").alias("least")).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("least").alias("least"))
+    return overlaps.where("met >= least").select("a", "b")

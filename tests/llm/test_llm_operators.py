@@ -259,17 +259,19 @@ def test_no_link_lost_in_groups_of_independent_edits(spark, monkeypatch, block):
     assert {tuple(x) for x in near_duplicates.group_pairs(groups).collect()} == brute_groups(list(texts.items()), 0.6)
 
 
-def test_blocks_of_a_list_all_meet_once():
+def test_blocks_of_a_list_all_meet_once(spark):
     import numpy as np
 
-    docs = np.arange(50, dtype=np.int64) + 7
-    at, group, code = sketch_join.groups_of(docs, np.full(50, 4, np.int32))
-    met = {}
-    for i in range(len(at)):
-        for j in range(len(at)):
-            if at[i] < at[j] and group[i] == group[j] and (code[i] >> 1 != code[j] >> 1 or code[i] & 1):
-                met[at[i], at[j]] = met.get((at[i], at[j]), 0) + 1
-    assert len(met) == 50 * 49 // 2 and set(met.values()) == {1}
+    bits = {f"s{k}": 0 for k in range(sketch_join.BITS // 64)}
+    made = spark.createDataFrame([{"doc": 7 + d, "n": 5, "values": [1, 2], "blocks": [4, 1], **bits} for d in range(50)], f"doc bigint, n int, {sketch_join.SKETCH}")
+    met = {1: {}, 2: {}}
+    listed = sketch_join.inverted_lists(made).collect()
+    for a in listed:
+        for b in listed:
+            if (a["value"], a["group"]) == (b["value"], b["group"]) and a["doc"] < b["doc"] and (a["home"] != b["home"] or a["home"] < 0):
+                met[a["value"]][a["doc"], b["doc"]] = met[a["value"]].get((a["doc"], b["doc"]), 0) + 1
+    assert all(len(m) == 50 * 49 // 2 and set(m.values()) == {1} for m in met.values())
+    assert sketch_join.least_agreement(0.6) > sketch_join.BITS // 2 and len(sketch_join.bits_of(np.arange(9))) == sketch_join.BITS // 64
 
 
 def test_frequent_values_are_found_wherever_they_lie(spark, monkeypatch):
@@ -314,7 +316,7 @@ def test_winnowing_shares_a_seed_of_any_long_run():
         a, b = (np.concatenate([r.integers(0, 2**60, r.integers(0, 20)).astype(np.uint64), run, r.integers(0, 2**60, r.integers(0, 20)).astype(np.uint64)]) for _ in range(2))
         ha, hb = shingles.shingle_hashes(a), shingles.shingle_hashes(b)
         assert set(ha[leakage.winnow(ha)].tolist()) & set(hb[leakage.winnow(hb)].tolist())
-        in_a, in_b = leakage.chain(a, b, frequency.Ranks(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        in_a, in_b = leakage.chain(a, b, frequency.Ranks(np.zeros(0, np.int64), np.zeros(0, np.int64)))
         assert in_a.sum() == in_b.sum() >= 6
 
 
@@ -324,7 +326,7 @@ def test_windows_of_texts_with_the_similarity_meet_as_often_as_told():
     r = np.random.default_rng(3)
     windows, shared = leakage.guarantee(0.6)
     assert windows[1] == 1 and windows[200] == leakage.WINDOW and (np.diff(shared) >= 0).all() and shared[400] > 20
-    of = frequency.Ranks(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    of = frequency.Ranks(np.zeros(0, np.int64), np.zeros(0, np.int64))
     tried = 0
     for _ in range(600):
         n = int(r.integers(3, 160))
