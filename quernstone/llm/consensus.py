@@ -1,16 +1,21 @@
 """Problem 2: consensus of several annotators' labels.
 
 Method: spectral reliability. A vote is centred by chance: its indicator less the label's share of all
-votes. The products of two annotators' centred votes over the items both labelled, divided by their
-number, estimate r_i r_j times a constant; the leading eigenvector of that matrix, with each entry
-weighted by its overlap count, is the reliability r. The power iteration
+votes. The products of two annotators' centred votes over the items both labelled, divided by the most
+that chance-centring leaves, add up to C_ab, which is n_ab r_a r_b on average for n_ab items in common.
+The reliability r is the leading eigenvector of that matrix, each entry corrected for its overlap count,
+with the eigenvalue as its scale: the power iteration
 
-    r_i <- sum_j C_ij r_j / sum_j n_ij r_j^2     (C: centred agreements, n: items in common)
+    y_a = sum_b C_ab x_b / sum_b n_ab x_b^2,    x <- y / sqrt(sum_a x_a (C x)_a / sum_a x_a^2 (n x^2)_a)
 
-never forms a pair: both sums go through per-item totals, one aggregation by item and one by annotator
+has r as its fixed point whatever the scale of x, and runs until no annotator moves by more than RESIDUAL.
+Annotators with few items in common are drawn to the mean of all by PRIOR_WEIGHT such items. Contrary
+annotators keep their negative place in the matrix.
+
+No pair is ever formed: both sums go through per-item totals, an aggregation by item and one by annotator
 over sparse votes. An annotator with reliability r gives the true label with probability
 r + (1 - r) p(label) and any other with (1 - r) p(other), so that a vote for m weighs
-log(1 + r / ((1 - r) p(m))); the consensus is the label with the largest sum.
+log(1 + r / ((1 - r) p(m))), nothing if r is not above chance; the consensus is the label with the largest sum.
 
 Hot annotators and items: all sums are partial on the map side; the table of reliabilities has a row
 per annotator and is joined as Spark's size check decides.
@@ -18,7 +23,7 @@ per annotator and is joined as Spark's size check decides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.runtime import materialize
@@ -29,10 +34,11 @@ LABELS = {
     "quality_reviews": ["RAW_GOLD", "CORRECTION_REQUIRED", "HOLDOUT", "SEGMENT_REQUIRED"],
 }
 WHITE_SPACE = r"^[\s\x{0085}\x{00a0}\x{2000}-\x{200b}\x{2028}\x{2029}\x{3000}\x{feff}]+|[\s\x{0085}\x{00a0}\x{2000}-\x{200b}\x{2028}\x{2029}\x{3000}\x{feff}]+$"
-ITERATIONS = 8
-#: Pseudo-overlap that pulls the reliability of annotators with few common items to the start value.
+#: Change of a reliability that ends the iteration, and rounds that it may take.
+RESIDUAL, ROUNDS = 1e-5, 200
+#: Common items by which annotators are drawn to the mean, and the start, kept by all where none have items in common.
 PRIOR_WEIGHT, PRIOR = 4.0, 0.5
-LEAST, MOST = 0.0, 0.97
+MOST = 0.97
 
 
 def stripped(c: Column) -> Column:
@@ -61,31 +67,56 @@ def label_shares(votes: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total), "review_kind").select("review_kind", "label", (F.col("n") / F.col("total")).alias("share"))
 
 
-def reliabilities(votes: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+def reliabilities(votes: DataFrame, residual: float = RESIDUAL) -> DataFrame:
     """(review_kind, reviewer, reliability, votes) from (review_kind, task_id, reviewer, label).
 
-    0 is chance, 1 certain. An annotator with no item in common with another keeps the start value.
+    0 is chance, 1 certain, below 0 contrary. Without any item in common there is no agreement to tell by, and all
+    have the start value; where agreement is no better than chance, all are 0.
     """
     shares = label_shares(votes)  # at most one row per listed label
     square = shares.groupBy("review_kind").agg(F.sum(F.col("share") ** 2).alias("square"))
-    prepared = materialize(votes.join(F.broadcast(shares), ["review_kind", "label"]).join(F.broadcast(square), "review_kind"), "votes")
+    place = F.row_number().over(Window.partitionBy("review_kind").orderBy("label")).alias("place")
+    known = shares.select("review_kind", "label", "share", place).join(square, "review_kind")
+    labels = max([r["n"] for r in shares.groupBy("review_kind").agg(F.count("*").alias("n")).collect()], default=0)  # a row per kind
+    prepared = materialize(votes.join(F.broadcast(known), ["review_kind", "label"]).select("review_kind", "task_id", "reviewer", "share", "square", "place"), "votes")
     counts = prepared.groupBy("review_kind", "reviewer").agg(F.count("*").alias("votes"))
-    r = materialize(counts.withColumn("reliability", F.lit(PRIOR)), "reliability")
-    item = ["review_kind", "task_id"]
-    for _ in range(iterations):
-        weighed = prepared.join(r.select("review_kind", "reviewer", "reliability"), ["review_kind", "reviewer"])
-        by_label = weighed.groupBy(*item, "label").agg(F.sum("reliability").alias("s"), F.sum(F.col("reliability") ** 2).alias("s2"), F.first("share").alias("p"), F.count("*").alias("n"))
-        by_item = by_label.groupBy(*item).agg(F.sum("s").alias("q"), F.sum("s2").alias("q2"), F.sum(F.col("s") * F.col("p")).alias("ps"), F.sum("n").alias("n_item"))
-        joined = weighed.join(by_label.select(*item, "label", "s"), [*item, "label"]).join(by_item, item)
-        p, sq, own = F.col("share"), F.col("square"), F.col("reliability")
-        # sum over the item's other votes of <e_a - p, e_b - p> r_b
-        product = F.col("s") - p * F.col("q") - F.col("ps") + sq * F.col("q") - own * (1 - 2 * p + sq)
-        new = joined.groupBy("review_kind", "reviewer").agg(
-            F.sum(product / (1 - sq)).alias("num"), F.sum(F.col("q2") - own**2).alias("den"), F.count("*").alias("votes"),
-        )
-        estimate = (F.col("num") + PRIOR_WEIGHT * PRIOR**3) / (F.col("den") + PRIOR_WEIGHT * PRIOR**2)
-        r = materialize(new.select("review_kind", "reviewer", "votes", F.greatest(F.lit(LEAST), F.least(F.lit(MOST), estimate)).alias("reliability")), "reliability")
-    return r
+    x = materialize(counts.withColumn("x", F.lit(PRIOR)), "reliability")
+    item, own, p, sq = ["review_kind", "task_id"], F.col("x"), F.col("share"), F.col("square")
+    moved, step, before = 1.0, 1.0, 1.0
+    for _ in range(ROUNDS if labels else 0):
+        weighed = prepared.join(x.select("review_kind", "reviewer", "x"), ["review_kind", "reviewer"])
+        sums = [F.sum(F.when(F.col("place") == k, own).otherwise(0.0)).alias(f"x{k}") for k in range(1, labels + 1)]
+        parts = [F.sum(F.when(F.col("place") == k, p * own).otherwise(0.0)).alias(f"px{k}") for k in range(1, labels + 1)]
+        by_item = weighed.groupBy(*item).agg(*sums, *parts, F.sum(own**2).alias("q2"), F.count("*").alias("n_item"))
+        q = sum((F.col(f"x{k}") for k in range(1, labels + 1)), F.lit(0.0))
+        pq = sum((F.col(f"px{k}") for k in range(1, labels + 1)), F.lit(0.0))
+        alike = F.element_at(F.array(*[F.col(f"x{k}") for k in range(1, labels + 1)]), F.col("place"))
+        # sum over the item's other votes of <e_a - p, e_b - p> x_b
+        product = alike - p * q - pq + sq * q - own * (1 - 2 * p + sq)
+        stats = weighed.join(by_item, item).groupBy("review_kind", "reviewer").agg(
+            F.sum(F.when(sq < 1, product / (1 - sq)).otherwise(0.0)).alias("num"), F.sum(F.col("q2") - own**2).alias("den"),
+            F.sum(F.col("n_item") - 1).alias("common"), F.first("x").alias("x"), F.count("*").alias("votes"))
+        stats = materialize(stats, "agreement")
+        totals = stats.groupBy("review_kind").agg(
+            F.sum(own * F.col("num")).alias("xcx"), F.sum(own**2 * F.col("den")).alias("xnx"), F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("common").alias("common"))
+        new: Column = F.lit(PRIOR)
+        for t in totals.collect():  # a row per kind
+            if not t["common"]:
+                continue
+            if t["xcx"] <= 0 or t["xnx"] <= 0 or t["den"] <= 0:
+                value = F.lit(0.0)
+            else:
+                weight = PRIOR_WEIGHT * t["den"] / t["common"]
+                value = (F.col("num") + weight * t["num"] / t["den"]) / (F.col("den") + weight) / (t["xcx"] / t["xnx"]) ** 0.5
+            new = F.when(F.col("review_kind") == t["review_kind"], value).otherwise(new)
+        x = materialize(stats.select("review_kind", "reviewer", "votes", (own + step * (new - own)).alias("x"), F.abs(new - own).alias("moved")), "reliability")
+        moved = x.agg(F.max("moved")).first()[0] or 0.0
+        if moved <= residual:
+            break
+        if moved > before:  # swings between two sides: go half the way
+            step = 0.5
+        before = moved
+    return x.select("review_kind", "reviewer", "votes", F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.col("x"))).alias("reliability"))
 
 
 def consensus(votes: DataFrame, r: DataFrame) -> DataFrame:
@@ -96,7 +127,7 @@ def consensus(votes: DataFrame, r: DataFrame) -> DataFrame:
     label with more votes, then to the earlier one in the alphabet.
     """
     shares = F.broadcast(label_shares(votes))
-    q = F.col("reliability")
+    q = F.greatest(F.col("reliability"), F.lit(0.0))
     weight = F.log(1 + q / ((1 - q) * F.col("share")))
     by_label = (
         votes.join(r.select("review_kind", "reviewer", "reliability"), ["review_kind", "reviewer"])
