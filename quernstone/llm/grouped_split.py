@@ -1,9 +1,15 @@
 """Problem 5: splits that keep related records together.
 
-Method: an incremental, persisted component table. Records are hooked to components through shared
-entries; merges of components form a parent table that is flattened by pointer jumping. A component
-that exists already keeps its split, a new one fills the split with the largest deficit, and a merge of
-components with different splits is quarantined.
+Method: an incremental, persisted component table (SplitTable). Three tables are kept in a folder: the
+component of each record, the component of each entry, and for each component its root with the root's
+split and size. A batch hooks its records to components through shared entries; merges of components form
+a parent table that is flattened by pointer jumping. A component that exists already keeps its split, a new
+one fills the split with the largest deficit, and a merge of components with different splits is
+quarantined; rows of earlier batches whose component or split changes so are issued again.
+
+Members and entries are only ever appended, under the component they had at first; merges rewrite the
+component table alone. Components are named "c:" and their smallest record at the time, so that no name is
+a record's. Records met again are known by the table of members and counted once.
 
 Entries that a single record holds connect nothing and are dropped by a count before anything is
 joined, and a hot entry is only ever reduced to a minimum (map-side combined), never expanded.
@@ -11,11 +17,13 @@ joined, and a hot entry is only ever reduced to a minimum (map-side combined), n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.consensus import stripped
-from quernstone.runtime import materialize
+from quernstone.runtime import materialize, scratch_path
 
 TARGETS = {"TRAIN": 0.8, "VALIDATION": 0.1, "TEST": 0.1}
 QUARANTINE = "QUARANTINE"
@@ -27,7 +35,7 @@ RANGES = 512
 
 def latest_rows(decisions: DataFrame, id_col: str, values: list[str]) -> DataFrame:
     """One row per id: that with the latest decided_at, then ingested_at; null ids have none."""
-    order = F.struct("decided_at", "ingested_at", *[F.col(v).cast("string") for v in values])
+    order = F.struct("decided_at", "ingested_at", *[F.col(v).cast("string") for v in values if v not in ("decided_at", "ingested_at")])
     picked = decisions.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max_by(F.struct(*values), order).alias("v"))
     return picked.select(id_col, *[F.col(f"v.{v}").alias(v) for v in values])
 
@@ -47,23 +55,13 @@ def _flatten(parents: DataFrame, name: str) -> DataFrame:
             return parents
 
 
-def components(ids: DataFrame, edges: DataFrame, id_col: str, known: DataFrame | None = None) -> DataFrame:
-    """(id_col, component) of every id: connected through entries, directly or through others.
+def components(ids: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, component) of every id: connected through the entries of edges (id_col, entry), directly or through others.
 
-    known (entry, component): components that entries belong to already; their names take part. A
-    component is named after its smallest member, by the order of strings.
+    A component is named after its smallest member, by the order of strings.
     """
-    node = F.col(id_col).cast("string")
-    known_edges = None
-    if known is not None:
-        # an existing component takes part as a record of its own that holds all of its entries met again
-        known_edges = known.join(edges.select("entry").distinct(), "entry", "left_semi").select(F.col("component").alias("node"), "entry")
-    all_edges = edges.select(node.alias("node"), "entry")
-    if known_edges is not None:
-        all_edges = all_edges.unionByName(known_edges)
-    all_edges = all_edges.distinct()
-    shared = all_edges.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1").select("entry")
-    links = materialize(all_edges.join(shared, "entry", "left_semi"), "links")
+    shared = edges.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1").select("entry")
+    links = materialize(edges.select(F.col(id_col).alias("node"), "entry").join(shared, "entry", "left_semi"), "links")
     labels = materialize(links.select("node", F.col("node").alias("component")).distinct(), "labels")
     while True:
         labelled = links.join(labels, "node")
@@ -75,8 +73,7 @@ def components(ids: DataFrame, edges: DataFrame, id_col: str, known: DataFrame |
             break
         roots = _flatten(hooks, "roots")
         labels = materialize(labels.join(roots, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
-    named = labels.withColumnRenamed("node", "__node")
-    return ids.select(id_col).distinct().join(named, node == F.col("__node"), "left").select(id_col, F.coalesce("component", node).alias("component"))
+    return ids.select(F.col(id_col).alias("node")).join(labels, "node", "left").select(F.col("node").alias(id_col), F.coalesce("component", "node").alias("component"))
 
 
 def _place_large(sizes: list[tuple[str, int]], deficits: dict[str, float]) -> dict[str, str]:
@@ -149,48 +146,145 @@ def assign(members: DataFrame, id_col: str, known: DataFrame | None = None, targ
     return out
 
 
-def merge_known(known_entries: DataFrame, known_splits: DataFrame, edges: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members of a batch under the components that hold from now on, and (component, split, size) of the known ones.
+#: Prefixes of the nodes of a batch's graph: a component that exists sorts before every new record.
+COMPONENT, RECORD = "c:", "r:"
+
 
-    A component named after known ones takes their split; if these differ it is quarantined.
+@dataclass
+class Tables:
+    """members (record, component), entries (entry, component), components (component, root, split, size).
+
+    split and size, the number of records, stand in the rows of roots (component = root).
     """
-    known_nodes = known_splits.select(F.col("component").alias("__known"))
-    everyone = ids.select(F.col(id_col).cast("string").alias("__id")).unionByName(known_nodes.withColumnRenamed("__known", "__id"))
-    table = materialize(components(everyone, edges.withColumnRenamed(id_col, "__id"), "__id", known_entries), "merged")
-    old = known_splits.join(table.withColumnRenamed("component", "root"), known_splits["component"] == F.col("__id")).select("root", "split", "size")
-    splits = old.groupBy("root").agg(
-        F.when(F.min("split") != F.max("split"), F.lit(QUARANTINE)).otherwise(F.min("split")).alias("split"), F.sum("size").alias("size"),
-    ).withColumnRenamed("root", "component")
-    members = table.join(known_nodes, F.col("__id") == F.col("__known"), "left_anti").withColumnRenamed("__id", id_col)
-    return members, splits
 
+    members: DataFrame
+    entries: DataFrame
+    components: DataFrame
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """rows under the roots of their components."""
+        roots = self.components.select("component", "root")
+        return rows.join(roots, "component").drop("component").withColumnRenamed("root", "component")
+
+    def splits(self) -> DataFrame:
+        return self.components.where("component = root").select("component", "split", "size")
 
-def split_related(rows: DataFrame, id_col: str = "task_id", group_col: str = "group_ids", known_entries: DataFrame | None = None, known_splits: DataFrame | None = None, targets: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New splits of a batch: (id_col, component, split); and the tables to persist: (entry, component) and (component, split, size).
+
+def split_batch(rows: DataFrame, known: Tables, id_col: str = "task_id", group_col: str = "group_ids", targets: dict[str, float] | None = None) -> tuple[Tables, DataFrame]:
+    """The rows to append to members and entries, with the components that hold from now on; and the rows issued.
+
+    Issued are (id_col, component, split) of the batch's new records and of earlier ones whose component
+    or split has changed.
 
     Defined cases: a record without entries is a component of its own; null ids have no row; ids that
-    repeat count once with the entries of all their rows; an empty batch leaves the tables as they are.
+    repeat count once with the entries of all their rows, in later batches too; an empty batch leaves the
+    tables as they are.
     """
-    edges = materialize(entries_of(rows, id_col, group_col), "edges")
-    ids = rows.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    if known_entries is not None and known_splits is not None:
-        members, known = merge_known(known_entries, known_splits, edges, ids, id_col)
-        splits = materialize(assign(members, id_col, known, targets).unionByName(known.join(members, "component", "left_anti")), "splits")
-        renamed = known_entries.withColumnRenamed("component", "was")
-        moved = components(known_splits.select(F.col("component").alias("__id")), edges.withColumnRenamed(id_col, "__id"), "__id", known_entries)
-        entries = renamed.join(moved, F.col("was") == F.col("__id"), "left").select("entry", F.coalesce("component", "was").alias("component"))
-        entries = entries.unionByName(edges.join(members, id_col).select("entry", "component")).distinct()
-    else:
-        members = materialize(components(ids, edges, id_col), "members")
-        splits = materialize(assign(members, id_col, None, targets), "splits")
-        entries = edges.join(members, id_col).select("entry", "component").distinct()
-    return members.join(splits.select("component", "split"), "component").select(id_col, "component", "split"), entries, splits
+    of_batch = entries_of(rows, id_col, group_col).withColumnRenamed(id_col, "record").withColumn("record", F.col("record").cast("string"))
+    ids = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("record")).distinct()
+    met = known.rooted(known.members.join(ids, "record", "left_semi"))
+    node = F.coalesce("component", F.concat(F.lit(RECORD), "record"))
+    nodes = materialize(ids.join(met, "record", "left").select("record", node.alias("node"), F.col("component").isNull().alias("is_new")), "nodes")
+    edges = materialize(of_batch.join(nodes, "record").select("node", "entry").distinct(), "edges")
+    held = materialize(known.rooted(known.entries.join(edges.select("entry").distinct(), "entry", "left_semi")).distinct(), "held")
+    graph = edges.unionByName(held.select(F.col("component").alias("node"), "entry")).distinct()
+    everyone = nodes.select("node").union(held.select("component")).distinct()
+    table = materialize(components(everyone, graph, "node"), "batch")
+    name = F.when(F.startswith("component", F.lit(COMPONENT)), F.col("component")).otherwise(F.concat(F.lit(COMPONENT), F.expr(f"substring(component, {len(RECORD) + 1})")))
+    table = table.select("node", name.alias("component"))
+    members = materialize(nodes.where("is_new").join(table, "node").select("record", "component"), "members")
+    # of each component that merges, the root that takes it in
+    moves = materialize(table.where((F.startswith("node", F.lit(COMPONENT))) & (F.col("node") != F.col("component"))).select(F.col("node").alias("root"), F.col("component").alias("into")), "moves")
+    before = known.splits().withColumnRenamed("component", "root").join(moves, "root", "left").withColumn("component", F.coalesce("into", "root"))
+    merged = before.groupBy("component").agg(
+        F.when(F.min("split") != F.max("split"), F.lit(QUARANTINE)).otherwise(F.min("split")).alias("split"), F.sum("size").alias("size"))
+    merged = materialize(merged, "merged")
+    placed = assign(members, "record", merged, targets)
+    roots = materialize(placed.unionByName(merged.join(placed.select("component"), "component", "left_anti")), "roots")
+    up = known.components.select("component", "root").join(moves, "root", "left").select("component", F.coalesce("into", "root").alias("root"))
+    new = roots.select("component").join(known.components.select("component"), "component", "left_anti").select("component", F.col("component").alias("root"))
+    all_ = up.unionByName(new).join(roots.withColumnRenamed("component", "of"), F.col("component") == F.col("of"), "left")
+    table_now = materialize(all_.select("component", "root", F.when(F.col("component") == F.col("root"), F.col("split")).alias("split"), F.when(F.col("component") == F.col("root"), F.col("size")).alias("size")), "components")
+    fresh = edges.join(table, "node").select("entry", "component").distinct().join(held.select("entry"), "entry", "left_anti")
+    now = Tables(members, materialize(fresh, "entries"), table_now)
+    changed = before.join(roots.select("component", F.col("split").alias("now")), "component").where((F.col("root") != F.col("component")) | (F.col("split") != F.col("now"))).select("root")
+    old = known.members.join(known.components.select("component", "root"), "component").join(changed, "root", "left_semi").select("record", "component")
+    issued = now.rooted(old.unionByName(members)).join(now.splits().drop("size"), "component")
+    return now, issued.select(F.col("record").cast(rows.schema[id_col].dataType).alias(id_col), "component", "split")
+
+
+class SplitTable:
+    """The persisted tables in a folder of the shared storage: members and entries by batch, components by version.
+
+    A batch counts once its version of the components is complete; what a lost batch left behind is
+    overwritten by the next.
+    """
+
+    MEMBERS, ENTRIES, COMPONENTS = "record string, component string", "entry string, component string", "component string, root string, split string, size bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def version(self) -> int:
+        """Number of the last complete batch, 0 for none."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/components")
+        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = [0]
+        if files.exists(hadoop):
+            for status in files.listStatus(hadoop):
+                if files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                    done.append(int(status.getPath().getName()))
+        return max(done)
+
+    def tables(self) -> Tables:
+        last = self.version()
+        parts = lambda name, schema: self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{k}" for k in range(1, last + 1)])
+        if not last:
+            return Tables(*[self.spark.createDataFrame([], s) for s in (self.MEMBERS, self.ENTRIES, self.COMPONENTS)])
+        return Tables(parts("members", self.MEMBERS), parts("entries", self.ENTRIES), self.spark.read.schema(self.COMPONENTS).parquet(f"{self.path}/components/{last}"))
+
+    def update(self, rows: DataFrame, id_col: str = "task_id", group_col: str = "group_ids", targets: dict[str, float] | None = None) -> DataFrame:
+        """Take in a batch; returns the rows issued, see split_batch."""
+        batch = self.version() + 1
+        now, issued = split_batch(rows, self.tables(), id_col, group_col, targets)
+        for name, table in (("members", now.members), ("entries", now.entries), ("components", now.components)):
+            table.write.mode("overwrite").parquet(f"{self.path}/{name}/{batch}")
+        return issued
+
+    def rows(self, id_col: str = "task_id") -> DataFrame:
+        """(id_col, component, split) of every record taken in so far."""
+        tables = self.tables()
+        return tables.rooted(tables.members).join(tables.splits().drop("size"), "component").select(F.col("record").alias(id_col), "component", "split")
+
+
+def arrivals(decisions: DataFrame, id_col: str, values: list[str], late: str = "interval 1 day") -> tuple[DataFrame, DataFrame]:
+    """The latest row of each id, in two batches: those ingested in time, and those that came late."""
+    rows = materialize(latest_rows(decisions, id_col, [*values, "decided_at", "ingested_at"]), "latest")
+    is_late = F.coalesce(F.col("ingested_at") > F.col("decided_at") + F.expr(late), F.lit(False))
+    return rows.where(~is_late), rows.where(is_late)
 
 
 def torn_records(decisions: DataFrame, id_col: str = "task_id") -> DataFrame:
-    """(id_col, component, split) of records in TRAIN or VALIDATION whose component holds both."""
-    rows = materialize(latest_rows(decisions, id_col, ["split", "group_ids"]).withColumn("split", F.upper(stripped("split"))), "latest")
-    table = components(rows.select(id_col), entries_of(rows, id_col), id_col)
-    both = rows.select(id_col, "split").where(F.col("split").isin("TRAIN", "VALIDATION")).join(table, id_col)
+    """(id_col, component, split) of records in TRAIN or VALIDATION whose component holds both.
+
+    Components come from a component table that takes the decisions in as they arrived.
+    """
+    spark = decisions.sparkSession
+    table = SplitTable(spark, scratch_path(spark, "components"))
+    batches = arrivals(decisions, id_col, ["split", "group_ids"])
+    for batch in batches:
+        table.update(batch, id_col)
+    split = F.upper(stripped("split")).alias("split")
+    present = batches[0].unionByName(batches[1]).select(F.col(id_col), split).where(F.col("split").isin("TRAIN", "VALIDATION"))
+    both = present.join(table.rows(id_col).drop("split"), id_col)
     torn = both.groupBy("component").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("component")
     return both.join(torn, "component", "left_semi").select(id_col, "component", "split")
+
+
+def split_decisions(decisions: DataFrame, id_col: str = "task_id") -> DataFrame:
+    """(id_col, component, split) of all records, from a component table that takes the decisions in as they arrived."""
+    spark = decisions.sparkSession
+    table = SplitTable(spark, scratch_path(spark, "components"))
+    for batch in arrivals(decisions, id_col, ["group_ids"]):
+        table.update(batch, id_col)
+    return table.rows(id_col)
