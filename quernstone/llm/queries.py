@@ -69,8 +69,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grouped_split.latest_rows(read(spark, sf_dir, "quality_decisions"), "task_id", ["group_ids"])
-    return grouped_split.split_related(rows)[0]
+    return grouped_split.split_decisions(read(spark, sf_dir, "quality_decisions"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +84,13 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p8_packing(spark, sf_dir))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_checks(p8_packing(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.junk_pages(read(spark, sf_dir, "documents")).select("doc_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_consensus, p2_reliability, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_split, p7_ids, p8_packing, p8_report, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_consensus, p2_reliability, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_split, p7_ids, p8_packing, p8_report, p8_checks, p9_found)}
