@@ -1,15 +1,20 @@
 """Problem 9: pages of repeated keywords, link lists and product tags.
 
-Method: each page's suffix automaton, over its words (single characters in scripts written without
-spaces), gives for every position the longest substring ending there that occurs again in the page;
-the union of these maximal repeats are the covered characters. A page is cut into units (lines, and
-sentences within lines). A unit lacks clause structure if it holds almost none of the words that
-sentences can't do without (articles, auxiliaries, pronouns, conjunctions). Junk are the characters of
-such units that are covered by repeats, belong to a link or carry a hash sign; a page is junk if
-they are more than half of its text.
-
-The automaton is only built where units without clause structure hold more than half of the text:
-elsewhere its outcome can't change the result, as junk is a part of them.
+Method: each page's suffix automaton gives for every position the longest substring ending there that
+occurs again in the page; the union of these maximal repeats are the covered characters. It is built twice:
+over the page's words (single characters in scripts written without spaces) and markup, and over its form,
+where a word or number is one symbol and only markup is told apart; repeats of the form count if they hold
+list markup (hash signs, slashes, bullets, bars) at least twice, as links, menus and tags repeat their
+markup and hosts even where no two entries are alike.
+
+A page is cut into units (lines, and sentences within lines). A unit's want of clause structure falls from 1
+to 0 around one in WORDS_A_CLAUSE_WORD of the words that sentences can't do without (articles, auxiliaries,
+pronouns, conjunctions); a remark in brackets belongs to the sentence before it in its line, and a key with a
+value, as in logs and records, has a structure of its own. A unit adds its covered characters, or all if they are REPEATED of it, weighed by
+that want; a page is junk if the sum is more than half of its text.
+
+The automata are only built where the want of all units, were they covered as a whole, could reach half of
+the text: elsewhere they can't change the result.
 
 Defined cases: null, empty and blank texts and those under MIN_CHARS are no junk; every other row is
 judged by itself, so copies of a junk page are junk too; extra columns are not read.
@@ -48,13 +53,14 @@ CLAUSE_CHARS = frozenset("的了在是不为将从到被把与和已需应请吧
 SEPARATORS = str.maketrans({c: " " for c in ".,;:!?()[]{}\"'|/<>*·»–—-=。，；：！？（）“”"})
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 UNIT_ENDS = re.compile(r"[.!?;](?=[ \t])|[\r\n\u2028\u2029]+|[。！？；]")
-LINK = re.compile(r"https?://|www\.|href=|\]\(|[a-z0-9-]\.[a-z]{2,8}/\S", re.I)
-TAG = re.compile(r"(?:^|\s)#\w")
-#: A link in brackets that follows a sentence in its line.
-CITATION = re.compile(r"[ \t]+\((?:https?:|www\.)\S+\)\s*$")
-#: Lines of logs and records: a step's number, or a key with a short value that is no link.
-RECORD = re.compile(r"\s*(?:[-*>] )?(?:step \d+|toolcall\b|(?!tags|related|see also|keywords)[\w. ()\"'-]{1,40}[:=\t](?!\s*(?:https?:|www\.))\s*(?:[{\[].*|(?:\S+[ \t]+){0,7}\S+\s*$))", re.I)
-TOKENS = re.compile(r"#\w[\w-]*|(?:https?://|www\.)\S+|[぀-ヿ㐀-鿿가-힯]|[^\W぀-ヿ㐀-鿿가-힯]+")
+LINE_END = re.compile(r"[\r\n\u2028\u2029]")
+BRACKETS = re.compile(r"[ \t]*[(\[][^()\[\]]*[)\]]\s*$")
+#: Keys with a short value or a structured one.
+RECORD = re.compile(r"\s*(?:[-*>] )?[\w. ()\"'-]{1,40}(?::(?=\s)|[=\t])\s*(?:[{\[].*|(?:\S+[ \t]+){0,7}\S+\s*$)|\s*[{\[]\s*[\"{\[].*")
+TOKENS = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+|[#/|>*•·\n]")
+MARKUP = frozenset("#/|>*•·")
+#: Symbols of a repeat of the form, and list markup in it, at least.
+FORM_SYMBOLS, FORM_MARKUP = 4, 2
 
 
 class SuffixAutomaton:
@@ -105,68 +111,70 @@ class SuffixAutomaton:
         return [length[v] if count[v] > 1 else length[link[v]] for v in self.at]
 
 
-def has_clause(words: str) -> bool:
-    """True if the unit, in lower case and without punctuation, holds enough of the words that sentences need."""
+def want_of_clause(words: str) -> float:
+    """From 1, for a unit (in lower case, without punctuation) with few or no clause words, to 0 for one with enough."""
     listed = words.split()
     found, size = sum(map(CLAUSE_WORDS.__contains__, listed)), len(listed)
     if not words.isascii():
         glyphs = CJK.findall(words)
         found += sum(map(CLAUSE_CHARS.__contains__, glyphs))
         size += len(glyphs) // 2
-    return found > 0 and found * WORDS_A_CLAUSE_WORD >= size
-
+    return 1.0 if not found else min(1.0, max(0.0, 1.5 - found * WORDS_A_CLAUSE_WORD / size))
 
-def loose_units(text: str) -> tuple[list[tuple[int, int, bool]], int]:
-    """Units without clause structure as (start, end, is a list of links or tags), and their characters.
 
-    A link in a unit with clause structure is a citation.
-    """
+def loose_units(text: str) -> tuple[list[tuple[int, int, float]], float]:
+    """Units that want clause structure as (start, end, want), and the sum of their characters by want."""
     words = text.lower()
     if len(words) != len(text):
         words = text
     words = words.translate(SEPARATORS)
-    units, chars, start = [], 0, 0
+    units, chars, start, before = [], 0.0, 0, None
     ends = [m.end() for m in UNIT_ENDS.finditer(text)]
     ends.append(len(text))
     for end in ends:
-        if not has_clause(words[start:end]):
-            unit = text[start:end]
-            if unit.strip():
-                listed = bool(LINK.search(unit)) or len(TAG.findall(unit)) * 3 >= len(unit.split())
-                if CITATION.match(unit) if listed else RECORD.match(unit):
-                    pass
-                else:
-                    units.append((start, end, listed))
-                    chars += end - start
+        want = want_of_clause(words[start:end])
+        if before is not None and BRACKETS.match(text[start:end]):
+            want = min(want, before)
+        before = None if LINE_END.search(text, start, end) else want
+        if want > 0 and not text[start:end].isspace() and not RECORD.match(text[start:end]):
+            units.append((start, end, want))
+            chars += want * (end - start)
         start = end
     return units, chars
 
 
+def covered_by_repeats(text: str) -> bytearray:
+    """A 1 for each character in a maximal substring, of words and markup or of the form, that occurs again."""
+    covered = bytearray(len(text))
+    lower = text.lower() if len(text.lower()) == len(text) else text
+    spans = [m.span() for m in TOKENS.finditer(text)]
+    symbols = [lower[a:b] for a, b in spans]
+    form = [t if t in MARKUP or t == "\n" else "w" for t in symbols]
+    marks = [0]
+    for t in form:
+        marks.append(marks[-1] + (t in MARKUP))
+    for of in (symbols, form):
+        for i, n in enumerate(SuffixAutomaton(of).repeats()):
+            if n and (of is symbols or (n >= FORM_SYMBOLS and marks[i + 1] - marks[i - n + 1] >= FORM_MARKUP)):
+                a, b = spans[i - n + 1][0], spans[i][1]
+                covered[a:b] = b"\1" * (b - a)
+    return covered
+
+
 def junk_share(text: str | None) -> float:
     """Share of the text that is repeated keywords, links or tags without clause structure."""
     if not text or len(text) < MIN_CHARS or text.isspace():
         return 0.0
     units, chars = loose_units(text)
-    size = len(text)
-    if chars <= SHARE * size:
+    if chars <= SHARE * len(text):
         return 0.0  # an upper bound of the junk
-    spans = [m.span() for m in TOKENS.finditer(text)]
-    lower = text.lower() if len(text.lower()) == size else text
-    automaton = SuffixAutomaton([lower[a:b] for a, b in spans])
-    covered = bytearray(size)
-    for i, n in enumerate(automaton.repeats()):
-        if n:
-            a, b = spans[i - n + 1][0], spans[i][1]
-            covered[a:b] = b"\1" * (b - a)
-    junk = 0
-    for start, end, listed in units:
-        if listed:
-            junk += end - start
-        else:
-            inside = covered[start:end].count(1)
-            # separators between two covered words are part of the list
-            junk += end - start if inside >= REPEATED * (end - start) else inside
-    return junk / size
+    covered = covered_by_repeats(text)
+    junk = 0.0
+    for start, end, want in units:
+        inside = covered[start:end].count(1)
+        # what stands between covered words is part of the list
+        junk += want * (end - start if inside >= REPEATED * (end - start) else inside)
+    return junk / len(text)
 
 
 def junk_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

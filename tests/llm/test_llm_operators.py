@@ -70,6 +70,24 @@ def test_packing_keeps_everything_once(spark):
     assert packing.pack_documents(docs.limit(0), profiles).count() == 0
 
 
+def test_packing_follows_the_curve(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 20_000)
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(WORDS) for _ in range(r.randrange(5, 120)))) for i in range(900)] + [(9_000 + i, ("one page " * 64).strip()) for i in range(300)], "doc_id bigint, text string")
+    profiles = spark.createDataFrame([("s", 512), ("l", 2_048)], "profile string, capacity_tokens int")
+    packed = packing.pack_documents(docs, profiles)
+    checks = [r.asDict() for r in packing.packing_checks(packed).collect()]
+    assert all(c["documents"] == 1_200 and not c["torn"] and not c["holes"] and not c["overfull"] and c["near"] for c in checks) and len(checks) == 2
+    assert {x["profile"]: x["apart"] < 2 * packing.WINDOW and x["fill"] > 0.9 for x in packing.packing_report(packed).collect()} == {"s": True, "l": True}
+
+
+def test_window_takes_what_leaves_the_least_room():
+    window = packing.Window(100, 5)
+    assert [window.add(k, n) for k, n in enumerate([60, 30, 25, 40])] == [None] * 4
+    assert window.add(4, 39) == [(0, 0), (3, 60)] and window.add(5, 100) == [(5, 0)]
+    assert window.fill() == [(1, 0), (4, 30), (2, 69)] and not window.sizes
+
+
 # --- junk pages ------------------------------------------------------------------------------
 
 NORMAL = "The agent reads the order before it changes anything. The user confirms the refund, and the tool returns the new state. This is checked against the policy of the shop. "
@@ -89,6 +107,20 @@ def test_junk(text, junk):
     assert (stuffing.junk_share(text) > stuffing.SHARE) == junk
 
 
+def test_both_coverage_and_want_of_clauses_decide(monkeypatch):
+    r = random.Random(6)
+    made = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    glossary = "\n".join(f"{a} {b}" for a, b in zip(made[::2], made[1::2]))  # without sentences and repeats
+    keywords = "\n".join(f"{r.choice(made[:8])} {r.choice(made[:8])}" for _ in range(200))
+    menu = "\n".join(f"{r.choice(made[:3])} :: {a} / {b}" for a, b in zip(made[::2], made[1::2]))
+    chorus = "The agent reads the order before it changes anything.\n" * 40  # repeats, of sentences
+    assert [stuffing.junk_share(t) > stuffing.SHARE for t in (glossary, keywords, menu, chorus)] == [False, True, True, False]
+    monkeypatch.setattr(stuffing, "covered_by_repeats", lambda text: bytearray(b"\1" * len(text)))
+    assert [stuffing.junk_share(t) > stuffing.SHARE for t in (glossary, keywords, chorus)] == [True, True, False]
+    monkeypatch.setattr(stuffing, "covered_by_repeats", lambda text: bytearray(len(text)))
+    assert [stuffing.junk_share(t) for t in (glossary, keywords, menu)] == [0.0] * 3
+
+
 def test_repeats_against_brute_force():
     r = random.Random(3)
     for _ in range(60):
@@ -135,16 +167,44 @@ def test_reliable_minority_beats_plain_count(spark):
             wrong = r.choice([x for x in consensus.LABELS["review_decisions"] if x != truth[str(t)]])
             data.append(("review_decisions", str(t), f"r{k}", truth[str(t)] if r.random() < (0.95 if good else 0.25) else wrong))
     votes = spark.createDataFrame(data, "review_kind string, task_id string, reviewer string, label string")
-    rel = consensus.reliabilities(votes, 6)
+    rel = consensus.reliabilities(votes)
     by = {x["reviewer"]: x["reliability"] for x in rel.collect()}
     assert min(by[f"r{k}"] for k in range(3)) > 0.75 > 0.3 > max(by[f"r{k}"] for k in range(3, 7))
     got = {x["task_id"]: x["label"] for x in consensus.consensus(votes, rel).collect()}
     assert sum(got[t] == v for t, v in truth.items()) / len(truth) > 0.95
 
 
+@pytest.mark.parametrize("mean", [0.25, 0.7])
+def test_reliabilities_converge_to_the_true_ones(spark, mean):
+    r = random.Random(3)
+    true = {f"a{j}": max(-0.3, min(0.95, r.gauss(mean, 0.2))) for j in range(25)}
+    labels, shares, data = ["PASS", "FAIL", "REVIEW"], [0.5, 0.3, 0.2], []
+    for i in range(6_000):
+        truth = r.choices(labels, shares)[0]
+        for a in r.sample(list(true), 5):
+            x = r.random()
+            data.append(("review_decisions", f"t{i}", a, truth if x < true[a] else r.choice([q for q in labels if q != truth]) if x < -true[a] else r.choices(labels, shares)[0]))
+    votes = spark.createDataFrame(data, "review_kind string, task_id string, reviewer string, label string").persist()
+    one, more = ({x["reviewer"]: x["reliability"] for x in consensus.reliabilities(votes, residual).collect()} for residual in (1e-4, 1e-6))
+    assert max(abs(one[a] - more[a]) for a in true) < 1e-3
+    assert sum(abs(more[a] - true[a]) for a in true) / len(true) < 0.04
+    assert all(more[a] < 0.1 for a in true if true[a] < 0)
+
+
+def test_annotators_alone_or_without_agreement(spark):
+    kind = "review_kind string, task_id string, reviewer string, label string"
+    alone = spark.createDataFrame([("review_decisions", "1", "a", "PASS"), ("review_decisions", "2", "b", "FAIL")], kind)
+    assert {x["reliability"] for x in consensus.reliabilities(alone).collect()} == {consensus.PRIOR}
+    apart = spark.createDataFrame([("review_decisions", str(t), a, x) for t in range(20) for a, x in (("a", "PASS"), ("b", "FAIL"))], kind)
+    assert {x["reliability"] for x in consensus.reliabilities(apart).collect()} == {0.0}
+    assert rows(consensus.consensus(apart, consensus.reliabilities(apart)).select("label").distinct()) == [("FAIL",)]
+    same = spark.createDataFrame([("review_decisions", str(t), a, "PASS") for t in range(3) for a in "ab"], kind)
+    assert rows(consensus.consensus(same, consensus.reliabilities(same)).select("label").distinct()) == [("PASS",)]
+
+
 def test_consensus_of_nothing(spark):
     empty = spark.createDataFrame([], "review_kind string, task_id string, reviewer string, label string")
-    assert consensus.consensus(empty, consensus.reliabilities(empty, 1)).count() == 0
+    assert consensus.consensus(empty, consensus.reliabilities(empty)).count() == 0
 
 
 # --- components and splits -------------------------------------------------------------------
@@ -157,27 +217,69 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_split_keeps_groups_and_proportions(spark):
+TASKS = "task_id string, group_ids array<string>"
+
+
+def table_at(spark, tmp_path):
+    return grouped_split.SplitTable(spark, f"file://{tmp_path}/table")
+
+
+def test_split_keeps_groups_and_proportions(spark, tmp_path):
     data = [(f"t{i}", [f"u:{i // 3}", " ", None]) for i in range(300)] + [("lone", None), (None, ["u:1"])]
-    d = spark.createDataFrame(data, "task_id string, group_ids array<string>")
-    got, entries, splits = grouped_split.split_related(d)
-    out = {r["task_id"]: (r["component"], r["split"]) for r in got.collect()}
+    d = spark.createDataFrame(data, TASKS)
+    table = table_at(spark, tmp_path)
+    issued = {r["task_id"]: (r["component"], r["split"]) for r in table.update(d).collect()}
+    out = {r["task_id"]: (r["component"], r["split"]) for r in table.rows().collect()}
+    assert issued == out
     assert len(out) == 301 and all(len({out[f"t{3 * k + j}"] for j in range(3)}) == 1 for k in range(100))
     n = {s: sum(x[1] == s for x in out.values()) for s in grouped_split.TARGETS}
     assert abs(n["TRAIN"] - 241) <= 6 and abs(n["VALIDATION"] - 30) <= 6 and abs(n["TEST"] - 30) <= 6
 
 
-def test_existing_components_keep_their_split_and_conflicts_are_quarantined(spark):
-    kind = "task_id string, group_ids array<string>"
-    known_entries = spark.createDataFrame([("u:1", "a"), ("u:2", "b"), ("u:3", "c")], "entry string, component string")
-    known = spark.createDataFrame([("a", "TRAIN", 5), ("b", "TEST", 5), ("c", "TEST", 1)], "component string, split string, size bigint")
-    batch = spark.createDataFrame([("n1", ["u:1"]), ("n2", ["u:1", "x:1"]), ("n3", ["u:2", "u:3"]), ("n4", ["z:9"])], kind)
-    got = {r["task_id"]: r["split"] for r in grouped_split.split_related(batch, known_entries=known_entries, known_splits=known)[0].collect()}
-    assert got["n1"] == got["n2"] == "TRAIN" and got["n3"] == "TEST" and got["n4"] in grouped_split.TARGETS
-    bridge = spark.createDataFrame([("n5", ["u:1", "u:2"])], kind)
-    out, entries, splits = grouped_split.split_related(bridge, known_entries=known_entries, known_splits=known)
-    assert out.first()["split"] == grouped_split.QUARANTINE
-    assert {r["component"]: r["split"] for r in splits.collect()} == {"a": grouped_split.QUARANTINE, "c": "TEST"}
+def test_a_batch_met_again_changes_nothing(spark, tmp_path):
+    d = spark.createDataFrame([(f"t{i}", [f"u:{i // 3}"]) for i in range(30)] + [("lone", None)], TASKS)
+    table = table_at(spark, tmp_path)
+    table.update(d)
+    first, sizes = rows(table.rows()), rows(table.tables().splits())
+    assert table.update(d).count() == 0 and table.update(d.limit(0)).count() == 0
+    assert rows(table.rows()) == first and rows(table.tables().splits()) == sizes and table.version() == 3
+    assert sum(x[2] for x in sizes) == 31
+
+
+def test_components_keep_their_split_and_conflicts_are_quarantined(spark, tmp_path):
+    table = table_at(spark, tmp_path)
+    table.update(spark.createDataFrame([(f"{c}{j}", [f"u:{c}"]) for c in "abcdefghijklmnop" for j in range(3)], TASKS))
+    before = {r["task_id"]: r["split"] for r in table.rows().collect()}
+    train, other = (next(c for c in "abcdefghijklmnop" if (before[f"{c}0"] == "TRAIN") == is_train) for is_train in (True, False))
+    twin = next(c for c in "abcdefghijklmnop" if c != train and before[f"{c}0"] == "TRAIN")
+    # an old record with a new entry, a new one under it, and two components of one split that merge
+    issued = {r["task_id"]: r["split"] for r in table.update(spark.createDataFrame([(f"{train}0", ["x:1"]), ("new", ["x:1"]), ("twin", [f"u:{train}", f"u:{twin}"])], TASKS)).collect()}
+    assert issued["new"] == issued["twin"] == "TRAIN" and set(issued.values()) == {"TRAIN"} and len(issued) == 5
+    out = {r["task_id"]: (r["component"], r["split"]) for r in table.rows().collect()}
+    assert out["new"] == out[f"{twin}2"] == out[f"{train}1"] and all(out[t][1] == s for t, s in before.items())
+    # a bridge between two splits: all of its rows are issued again, later ones join them
+    issued = {r["task_id"]: r["split"] for r in table.update(spark.createDataFrame([("bridge", ["x:1", f"u:{other}"])], TASKS)).collect()}
+    assert set(issued.values()) == {grouped_split.QUARANTINE} and {"bridge", "new", f"{other}0", f"{train}0", f"{twin}0"} <= set(issued)
+    assert [r["split"] for r in table.update(spark.createDataFrame([("late", [f"u:{twin}"])], TASKS)).collect()] == [grouped_split.QUARANTINE]
+    out = {r["task_id"]: (r["component"], r["split"]) for r in table.rows().collect()}
+    assert out["late"] == out[f"{other}0"] == out["bridge"] and len(out) == 48 + 4
+    assert sum(r["size"] for r in table.tables().splits().collect()) == len(out)
+
+
+def test_batches_give_the_components_of_the_whole(spark, tmp_path):
+    r = random.Random(8)
+    data = [(f"t{i}", [f"u:{r.randrange(60)}" for _ in range(r.choice((0, 1, 1, 2)))]) for i in range(90)]
+    table = table_at(spark, tmp_path)
+    for part in (data[:30], data[30:60], data[60:]):
+        table.update(spark.createDataFrame(part, TASKS))
+    got = {}
+    for x in table.rows().collect():
+        got.setdefault(x["component"], set()).add(x["task_id"])
+    groups = []
+    for t, entries in data:
+        joined = [g for g in groups if g[1] & set(entries)]
+        groups = [g for g in groups if g not in joined] + [({t}.union(*[g[0] for g in joined]), set(entries).union(*[g[1] for g in joined]))]
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g[0]) for g in groups)
 
 
 # --- near duplicates -------------------------------------------------------------------------
