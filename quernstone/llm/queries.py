@@ -43,11 +43,14 @@ def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.conversation_groups(read(spark, sf_dir, "message_events"))
+    """Every conversation with its group, named after the group's smallest candidate_id, its links and copies."""
+    groups = materialize(near_duplicates.conversation_groups(read(spark, sf_dir, "message_events")), "groups")
+    names = groups.groupBy("group_id").agg(F.min("candidate_id").alias("name"))
+    return groups.join(names, "group_id").select("candidate_id", F.col("name").alias("group_id"), "links", "copies")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.group_pairs(p3_groups(spark, sf_dir))
+    return near_duplicates.group_pairs(near_duplicates.conversation_groups(read(spark, sf_dir, "message_events")))
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,19 @@ def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_split.split_decisions(read(spark, sf_dir, "quality_decisions"))
 
 
+def p5_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the new split: tasks, entries whose tasks are in several splits, tasks without one, and whether the shares hold to 3 %."""
+    decisions = read(spark, sf_dir, "quality_decisions")
+    split = materialize(grouped_split.split_decisions(decisions), "split")
+    rows = grouped_split.latest_rows(decisions, "task_id", ["group_ids"])
+    torn = grouped_split.entries_of(rows, "task_id").join(split, "task_id").groupBy("entry").agg((F.min("split") != F.max("split")).alias("torn"))
+    shares = F.lit(True)
+    for name, share in grouped_split.TARGETS.items():
+        shares = shares & (F.abs(F.count_if(F.col("split") == name) / F.count("*") - share) <= 0.03)
+    known = rows.join(split, "task_id", "left").agg(F.count("*").alias("tasks"), F.count_if(F.col("split").isNull()).alias("unplaced"), shares.alias("in_proportion"))
+    return known.crossJoin(torn.agg(F.count_if("torn").alias("torn_entries"))).select("tasks", "torn_entries", "unplaced", "in_proportion")  # a row each
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(read(spark, sf_dir, "documents"))
 
@@ -93,4 +109,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_consensus, p2_reliability, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_split, p7_ids, p8_packing, p8_report, p8_checks, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_consensus, p2_reliability, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_split, p5_checks, p7_ids, p8_packing, p8_report, p8_checks, p9_found)}
