@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.canonical import signature
+
 # Prefixes of the tools that change state, and of those that only read.
 WRITE_PREFIXES = ("cancel_", "modify_", "return_", "exchange_")
 READ_PREFIXES = ("get_", "find_", "list_")
@@ -32,15 +34,19 @@ def tool_type(name: Column) -> Column:
 
 
 def unique_events(messages: DataFrame) -> DataFrame:
-    """Each event_id once: events may be delivered twice with the same payload."""
-    return messages.dropDuplicates(["event_id"])
+    """Each event_id of a trajectory once: events may be delivered twice with the same payload.
+
+    Rows are brought together by trajectory, once: windows, aggregations and joins by trajectory follow
+    without another exchange.
+    """
+    return messages.repartition("candidate_id").dropDuplicates(["candidate_id", "event_id"])
 
 
 def calls(events: DataFrame) -> DataFrame:
-    """(candidate_id, msg_index, pos, call_id, name, arguments, signature): a row per tool call."""
+    """(candidate_id, msg_index, pos, call_id, name, arguments, signature): a row per tool call; signature is the same for all ways of writing the same arguments."""
     return events.select("candidate_id", "msg_index", F.posexplode("tool_calls").alias("pos", "c")).select(
         "candidate_id", "msg_index", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"),
-        F.concat_ws(":", "c.name", "c.arguments").alias("signature"))
+        signature(F.col("c.name"), F.col("c.arguments")).alias("signature"))
 
 
 def results(events: DataFrame) -> DataFrame:
@@ -160,15 +166,32 @@ def last_status_before(events: DataFrame) -> DataFrame:
 
 
 def card(events: DataFrame) -> DataFrame:
-    """One row per trajectory: messages by role, calls by type, errors, repetitions, longest run, final answer."""
+    """One row per trajectory: messages by role, calls by type, errors, repetitions, longest run, final answer.
+
+    A row per call, or one for a message without calls, goes through windows and two aggregations that all
+    lie on the trajectory.
+    """
     n_calls = F.size(F.coalesce("tool_calls", F.array()))
-    base = events.groupBy("candidate_id").agg(
-        F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if(F.col("role") == "assistant").alias("assistant_turns"),
-        F.count_if(F.col("role") == "tool").alias("tool_results"), F.count_if(F.coalesce("tool_error", F.lit(False))).alias("tool_errors"), F.count_if(n_calls > 1).alias("multi_call_turns"),
-        F.coalesce(F.max(F.when((F.col("role") == "assistant") & (F.length(F.trim("content")) > 0), F.col("msg_index"))), F.lit(-1)).alias("final_answer_index"))
-    rows = calls(events)
-    by_type = rows.groupBy("candidate_id").agg(F.count_if(is_write(F.col("name"))).alias("write_calls"), F.countDistinct("name").alias("distinct_tools"))
-    longest = runs(rows).groupBy("candidate_id").agg(F.max("n").alias("longest_run"))
-    out = base.join(repetition(rows), "candidate_id", "left").join(by_type, "candidate_id", "left").join(longest, "candidate_id", "left")
-    zero = ["calls", "duplicates", "adjacent_repeats", "write_calls", "distinct_tools", "longest_run"]
-    return out.select("candidate_id", "messages", "user_turns", "assistant_turns", "tool_results", "tool_errors", "multi_call_turns", "final_answer_index", *[F.coalesce(c, F.lit(0)).alias(c) for c in zero])
+    rows = events.select(
+        "candidate_id", "msg_index", "role", F.coalesce("tool_error", F.lit(False)).alias("error"), n_calls.alias("n_calls"), (F.length(F.trim("content")) > 0).alias("has_text"), F.posexplode_outer("tool_calls").alias("pos", "c"))
+    rows = rows.select("candidate_id", "msg_index", "role", "error", "n_calls", "has_text", "pos", (F.coalesce("pos", F.lit(0)) == 0).alias("first"), F.col("c.name").alias("name"),
+                       F.when(F.col("pos").isNotNull(), signature(F.col("c.name"), F.col("c.arguments"))).alias("signature"))
+    is_call = F.col("pos").isNotNull()
+    order = [~is_call, "msg_index", "pos"]  # the calls first, in order
+    w = Window.partitionBy("candidate_id").orderBy(*order)
+    made = rows.withColumns({"before": F.lag("signature").over(w), "name_before": F.lag("name").over(w), "nth": F.row_number().over(w)})
+    change = is_call & (F.col("nth") > 1) & F.col("name").eqNullSafe(F.col("name_before"))
+    made = made.withColumn("run", F.sum(F.when(change, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    once = lambda c: F.row_number().over(Window.partitionBy("candidate_id", c).orderBy(*order)) == 1
+    made = made.withColumns({"new_signature": is_call & once("signature"), "new_name": is_call & F.col("name").isNotNull() & once("name")})
+    count = lambda x: F.count_if(x)
+    final = F.max(F.when((F.col("role") == "assistant") & F.col("has_text"), F.col("msg_index")))
+    first = F.col("first")
+    runs_ = made.groupBy("candidate_id", "run").agg(
+        count(first).alias("messages"), count(first & (F.col("role") == "user")).alias("user_turns"), count(first & (F.col("role") == "assistant")).alias("assistant_turns"), count(first & (F.col("role") == "tool")).alias("tool_results"),
+        count(first & F.col("error")).alias("tool_errors"), count(first & (F.col("n_calls") > 1)).alias("multi_call_turns"), final.alias("final_answer_index"), count(is_call).alias("calls"), count("new_signature").alias("signatures"),
+        count(is_call & (F.col("signature") == F.col("before"))).alias("adjacent_repeats"), count(is_call & is_write(F.col("name"))).alias("write_calls"), count("new_name").alias("distinct_tools"))
+    sums = ["messages", "user_turns", "assistant_turns", "tool_results", "tool_errors", "multi_call_turns"]
+    return runs_.groupBy("candidate_id").agg(
+        *[F.sum(c).alias(c) for c in sums], F.coalesce(F.max("final_answer_index"), F.lit(-1)).alias("final_answer_index"), F.sum("calls").alias("calls"), (F.sum("calls") - F.sum("signatures")).alias("duplicates"),
+        F.sum("adjacent_repeats").alias("adjacent_repeats"), F.sum("write_calls").alias("write_calls"), F.sum("distinct_tools").alias("distinct_tools"), F.max("calls").alias("longest_run"))

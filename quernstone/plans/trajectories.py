@@ -12,7 +12,8 @@ from quernstone.runtime import read
 
 EVENTS = """ev as (select * from (select *, row_number() over (partition by event_id order by ingested_at) as rn from message_events) where rn = 1)"""
 CALLS = EVENTS + """, calls as (select candidate_id, msg_index, i - 1 as pos, tool_calls[i].id as call_id, tool_calls[i].name as name, tool_calls[i].arguments as arguments,
-  concat_ws(':', tool_calls[i].name, tool_calls[i].arguments) as signature from (select *, unnest(range(1, len(tool_calls) + 1)) as i from ev where len(tool_calls) > 0))"""
+  tool_calls[i].name || ':' || case when not json_valid(tool_calls[i].arguments) or json_type(tool_calls[i].arguments) <> 'OBJECT' then 'raw ' || tool_calls[i].arguments
+   else array_to_string(['"' || k || '":' || json_extract(tool_calls[i].arguments, '$."' || k || '"') for k in list_sort(json_keys(tool_calls[i].arguments))], ',') end as signature from (select *, unnest(range(1, len(tool_calls) + 1)) as i from ev where len(tool_calls) > 0))"""
 IS_WRITE = "(name like 'cancel\\_%' escape '\\' or name like 'modify\\_%' escape '\\' or name like 'return\\_%' escape '\\' or name like 'exchange\\_%' escape '\\')"
 IS_READ = "(name like 'get\\_%' escape '\\' or name like 'find\\_%' escape '\\' or name like 'list\\_%' escape '\\')"
 RESULTS = CALLS + """, results as (select candidate_id, tool_call_id as call_id, max(msg_index) as result_index, arg_max(struct_pack(content := content, tool_error := tool_error), msg_index) as r
@@ -310,14 +311,15 @@ ROLLOUT_VARIANCE = f"""with {TRIALS}, per as (select task_id, var_pop(messages)
 select (select count(*) from trials) as rows, (select round(var_pop(messages), 6) from trials) as variance, count(*) as units, count(*) filter (n > 1 and v > 0) as varying_units, round(avg(case when n > 1 then v end), 6) as variance_within from per"""
 
 
-def _trial_calls(spark: SparkSession, sf_dir: str, nth: int) -> DataFrame:
-    chosen = _trials(spark, sf_dir).where(F.col("nth") == nth).select("candidate_id", "task_id")
+def _trial_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of the first two trials of each task; nth tells them apart, the signature is the tool."""
+    chosen = _trials(spark, sf_dir).where("nth <= 2").select("candidate_id", "task_id", "nth")
     return t.calls(_events(spark, sf_dir)).join(chosen, "candidate_id").withColumn("signature", F.col("name"))
 
 
 def action_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tools of a task's first trial as expected actions, those of its second as actual ones."""
-    return matching.match_summary(_trial_calls(spark, sf_dir, 1), _trial_calls(spark, sf_dir, 2), "task_id")
+    return matching.match_counts(_trial_calls(spark, sf_dir), "task_id", "signature", F.col("nth") == 1)
 
 
 ACTION_MATCH = f"""with {TRIALS}, {CALLS.removeprefix(EVENTS + ', ')},
@@ -342,7 +344,7 @@ REPLACEMENT_OVERLAY = f"""with {TRIALS} select a.task_id, case when not a.succes
 
 
 def multilabel_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.multilabel_micro(_trial_calls(spark, sf_dir, 1), _trial_calls(spark, sf_dir, 2), ["task_id", "name"])
+    return metrics.multilabel_micro(*[_trial_calls(spark, sf_dir).where(F.col("nth") == n) for n in (1, 2)], ["task_id", "name"])
 
 
 MULTILABEL_MICRO = f"""with {TRIALS}, {CALLS.removeprefix(EVENTS + ', ')}, g as (select distinct task_id, name from calls join trials using (candidate_id) where nth = 1), p as (select distinct task_id, name from calls join trials using (candidate_id) where nth = 2),
