@@ -48,14 +48,55 @@ def hash_order(key: str | Column, seed: str) -> Column:
     return F.sha2(F.concat(F.lit(seed + ":"), key), 256)
 
 
+#: Leading hex digits of the seeded digest that a stratum's rows are first counted by.
+BUCKET_DIGITS = 3
+
+
+def rank_in_stratum(rows: DataFrame, key: str, stratum: str, seed: str) -> DataFrame:
+    """rows with `rank`, from 1, in seeded hash order within their stratum, and its `size`.
+
+    Ranks are taken within buckets of the digest and moved by the counts of the buckets before, so that no
+    stratum, however large, is sorted in one task.
+    """
+    hashed = rows.withColumn("hash", hash_order(key, seed)).withColumn("bucket", F.left("hash", F.lit(BUCKET_DIGITS)))
+    counts = hashed.groupBy(stratum, "bucket").agg(F.count("*").alias("n"))  # at most 16**BUCKET_DIGITS rows a stratum
+    before = Window.partitionBy(stratum).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(stratum).alias("__s"), F.col("bucket").alias("__b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy(stratum)).alias("size"))
+    placed = hashed.withColumn("rank", F.row_number().over(Window.partitionBy(stratum, "bucket").orderBy("hash", key)))
+    joined = placed.join(counts, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
+    return joined.withColumn("rank", F.col("rank") + F.col("offset")).drop("hash", "bucket", "offset", "__s", "__b")
+
+
 def stratified_quota(rows: DataFrame, key: str, stratum: str, take: float, seed: str) -> DataFrame:
     """rows with `picked`: of each stratum the first ceil(take * size) in seeded hash order.
 
     A larger share's picks hold a smaller one's, so the subsets are nested.
     """
-    order = Window.partitionBy(stratum).orderBy(hash_order(key, seed), key)
-    whole = Window.partitionBy(stratum)
-    return rows.withColumn("picked", F.row_number().over(order) <= F.ceil(F.count("*").over(whole) * take))
+    return rank_in_stratum(rows, key, stratum, seed).withColumn("picked", F.col("rank") <= F.ceil(F.col("size") * take)).drop("rank", "size")
+
+
+def largest_deficit_quotas(sizes: DataFrame, stratum: str, total: int) -> DataFrame:
+    """(stratum, quota) from (stratum, size): `total` places, first one each if they suffice, then always to the largest deficit.
+
+    The deficit is the proportional share less the quota so far; ties go to the stratum with more rows left,
+    then to the later name. Each further place lowers a stratum's deficit by one, so the places that are
+    given are the greatest of all, and no loop is needed; a stratum's are listed up to its share and one more
+    for each stratum.
+    """
+    summed = sizes.agg(F.sum("size").alias("all"), F.count("*").alias("strata"))  # one row
+    wide = sizes.crossJoin(F.broadcast(summed)).withColumns({"ideal": F.lit(total) * F.col("size") / F.col("all"), "start": F.when(F.col("strata") <= total, 1).otherwise(0)})
+    last = F.least(F.col("size"), F.ceil("ideal") + F.col("strata"))
+    places = wide.where(last > F.col("start")).select(stratum, "size", "ideal", "start", "strata", F.explode(F.sequence(F.col("start"), (last - 1).cast("int"))).alias("given"))
+    order = Window.orderBy(F.desc(F.col("ideal") - F.col("given")), F.desc(F.col("size") - F.col("given")), F.desc(stratum))  # over at most total + strata**2 rows
+    won = places.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.lit(total) - F.col("start") * F.col("strata")).groupBy(stratum).agg(F.count("*").alias("more"))
+    return wide.join(won, stratum, "left").select(stratum, (F.col("start") + F.coalesce("more", F.lit(0))).alias("quota"))
+
+
+def largest_deficit_split(rows: DataFrame, key: str, stratum: str, total: int, seed: str) -> DataFrame:
+    """rows with `picked`: `total` rows in all, by largest_deficit_quotas and seeded hash order within strata. Null strata are refused places."""
+    ranked = rank_in_stratum(rows.where(F.col(stratum).isNotNull()), key, stratum, seed)
+    quotas = largest_deficit_quotas(ranked.groupBy(stratum).agg(F.count("*").alias("size")), stratum, total)
+    return ranked.join(F.broadcast(quotas), stratum).withColumn("picked", F.col("rank") <= F.col("quota")).drop("rank", "size", "quota")
 
 
 def partition_report(assigned: DataFrame, everything: DataFrame, key: str, split: str) -> DataFrame:

@@ -258,7 +258,8 @@ def text_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
 
 
-TEXT_EXCERPT = "select doc_id, case when length(text) <= 1200 then text else substring(text, 1, 400) || ' [...] ' || right(text, 800) end as excerpt from documents where text is not null"
+TEXT_EXCERPT = """select doc_id, case when length(text) <= 6000 then text else left(text, 1200) || chr(10) || '...[MIDDLE TRUNCATED; SOURCE HASH PRESERVED]...' || chr(10) || right(text, 4800) end as excerpt
+from documents where text is not null"""
 
 
 # --- trials of the same task -----------------------------------------------------------------

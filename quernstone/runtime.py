@@ -20,6 +20,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The folder all executors share. spark.checkpoint.dir if the session has it, else a local one (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         root = _SCRATCH.setdefault("root", "file://" + tempfile.mkdtemp(prefix="quernstone-"))
     return root
 

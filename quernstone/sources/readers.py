@@ -6,6 +6,8 @@ metadata column. Faults are rows, not exceptions: a line that can't be read come
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,14 +104,29 @@ def newest_source(spark: SparkSession, root: str) -> DataFrame:
     """(directory, path, kind): of each directory its newest debug dump, or else its first log."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime")
     rows = files.withColumns({"directory": F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "kind": F.when(F.col("path").rlike(r"agent_response[^/]*\.json$"), "debug").when(F.col("path").rlike(r"\.log$"), "log")}).where("kind is not null")
-    best = F.max_by("path", F.when(F.col("kind") == "debug", F.struct(F.lit(1), F.unix_micros("modificationTime"))).otherwise(F.struct(F.lit(0), -F.xxhash64("path"))))
-    return rows.groupBy("directory").agg(best.alias("path")).withColumn("kind", F.when(F.endswith("path", F.lit(".json")), "debug").otherwise("log"))
+    # a debug dump wins over a log; of dumps the newest, then the greatest path, of logs the first path
+    dump, log = F.col("kind") == "debug", F.col("kind") == "log"
+    newest = F.max(F.when(dump, F.struct("modificationTime", "path")))["path"]
+    return rows.groupBy("directory").agg(F.coalesce(newest, F.min(F.when(log, F.col("path")))).alias("path")).withColumn("kind", F.when(F.endswith("path", F.lit(".json")), "debug").otherwise("log"))
 
 
 def file_digests(spark: SparkSession, path: str, line_ends: bool = False) -> DataFrame:
-    """(path, sha256): upper-case digest of each file's bytes, or of its text with line ends made equal."""
+    """(path, sha256): upper-case digest of each file's bytes; with line_ends, CR LF count as LF, whatever the encoding."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    content = F.col("content")
     if line_ends:
-        rows = spark.read.text(path, wholetext=True).select(file_path().alias("path"), F.encode(F.regexp_replace("value", "\r\n", "\n"), "UTF-8").alias("content"))
-    else:
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return rows.select("path", F.upper(F.sha2("content", 256)).alias("sha256"))
+        content = F.unhex(F.replace(F.regexp_replace(F.regexp_replace(F.hex("content"), "(..)", "$1 "), "0D 0A ", "0A "), F.lit(" "), F.lit("")))
+    return rows.select("path", F.upper(F.sha2(content, 256)).alias("sha256"))
+
+
+def directory_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(files, sha256): digest of the names and bytes of all files below a folder, in the order of their relative paths.
+
+    The bytes of one folder go through one row: it is meant for checkpoints and evidence folders, not for lakes.
+    """
+    root = path.rstrip("/")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    relative = F.regexp_replace("path", r"^.*" + re.escape(root.split("//")[-1].rstrip("/")) + "/", "")
+    part = F.concat(F.hex(relative), F.lit("00"), F.hex("content"), F.lit("00"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(relative.alias("name"), part.alias("part")))), lambda r: r["part"])
+    return rows.agg(F.count("*").alias("files"), F.upper(F.sha2(F.unhex(F.array_join(ordered, "")), 256)).alias("sha256"))

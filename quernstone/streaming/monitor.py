@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone import schema
+from quernstone.functions.canonical import signature
 
 
 def event_stream(spark: SparkSession, path: str, files_a_trigger: int = 16) -> DataFrame:
@@ -36,26 +37,26 @@ def error_windows(events: DataFrame, late: str = "3 days", size: str = "1 hour")
 
 
 DAY_MS = 24 * 3_600_000
-STATE = "signatures array<string>, events array<bigint>"
+STATE = "signatures array<string>, times array<int>, events array<bigint>, places array<int>"
 ALERT = "candidate_id string, event_id bigint, name string, times int"
 
 
 def _repeats(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Alert for every call that its conversation has made before with the same arguments."""
-    signatures, seen = (list(x) for x in state.get) if state.exists else ([], [])
-    known = set(seen)
+    signatures, times, events, places = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+    made = dict(zip(signatures, times))
+    known = set(zip(events, places))
     rows = pd.concat(list(batches)).sort_values(["msg_index", "event_id", "pos"])
     alerts = []
     for event, at, name, signature in zip(rows["event_id"], rows["pos"], rows["name"], rows["signature"]):
-        delivery = int(event) * 64 + int(at)
+        delivery = int(event), int(at)
         if delivery in known:
             continue
         known.add(delivery)
-        times = signatures.count(signature)
-        signatures.append(signature)
-        if times:
-            alerts.append((key[0], int(event), name, times + 1))
-    state.update((signatures, sorted(known)))
+        made[signature] = made.get(signature, 0) + 1
+        if made[signature] > 1:
+            alerts.append((key[0], int(event), name, made[signature]))
+    state.update((list(made), list(made.values()), [e for e, _ in known], [p for _, p in known]))
     state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + DAY_MS)
     if alerts:
         yield pd.DataFrame(alerts, columns=["candidate_id", "event_id", "name", "times"])
@@ -71,10 +72,10 @@ def _guarded(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
 def repeated_calls(events: DataFrame, late: str = "3 days") -> DataFrame:
     """Alerts (candidate_id, event_id, name, times) from a stream: calls repeated with the same arguments.
 
-    The state of a conversation are the calls it made, and ends once event time is a day past the watermark
+    The state of a conversation are the digests of the calls it made, with their number, and ends once event time is a day past the watermark
     at its last event; redelivered events are told by their id and don't count.
     """
     timed = events.withColumn("at", F.col("recorded_at").cast("timestamp")).withWatermark("at", late)
     made = timed.select("at", "candidate_id", "event_id", "msg_index", F.posexplode("tool_calls").alias("pos", "c")).select(
-        "candidate_id", "event_id", "msg_index", "pos", "at", F.col("c.name").alias("name"), F.concat_ws(":", "c.name", "c.arguments").alias("signature"))
+        "candidate_id", "event_id", "msg_index", "pos", "at", F.col("c.name").alias("name"), F.sha2(signature(F.col("c.name"), F.col("c.arguments")), 256).alias("signature"))
     return made.groupBy("candidate_id").applyInPandasWithState(_guarded, ALERT, STATE, "append", "EventTimeTimeout")

@@ -29,7 +29,7 @@ def found(spark, rows):
     ('{"a": 1, "a": 2}', '{"a": 2}', []),
     ('{"a.b": 1}', '{"a": {"b": 1}}', [("a", "MISSING_IN_AGENT"), ("a.b", "MISSING_IN_GOLD")]),
     ('{"a": 1', '{"a": 2}', []),
-    ('{"a": NaN}', '{"a": 2}', []),
+    ('{"a": NaN}', '{"a": 2}', [("a", "DIFFERENT")]), ('{"a": NaN, "b": -Infinity}', '{"b": -Infinity, "a": NaN}', []),
     ('', '{"a": 2}', []),
     (None, '{"a": 2}', []),
     ('[1]', '[1]', []),
