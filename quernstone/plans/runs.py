@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import canonical, text
 from quernstone.operators import completions
 from quernstone.operators import trajectory as t
-from quernstone.plans.trajectories import CALLS, EVENTS, IS_READ, IS_WRITE, RESULTS, TRIALS, _events, _trials
+from quernstone.plans.trajectories import CALLS, EVENTS, IS_READ, IS_WRITE, RESULTS, TRAJECTORY_CARD, TRIALS, _events, _trials
 from quernstone.runtime import read
 
 TRIAL_CALLS = f"{TRIALS}, {CALLS.removeprefix(EVENTS + ', ')}"
@@ -382,14 +382,8 @@ TOOL_RECOVERY = f"""with {RESULTS} select case when name like 'find\\_user%' esc
  count(*) filter (exists (select 1 from joined b where b.candidate_id = a.candidate_id and b.name = a.name and (b.msg_index, b.pos) > (a.msg_index, a.pos) and b.result_found and not b.is_error)) as recovered from joined a where is_error group by 1"""
 
 
-def _card_sql() -> str:
-    from quernstone.plans.trajectories import TRAJECTORY_CARD
-
-    return TRAJECTORY_CARD
-
-
 ACTIVE_FLAGS = f"""select array_to_string([f for f in [case when duplicates > 0 then 'duplicates' end, case when tool_errors > 0 then 'errors' end, case when longest_run > 2 then 'long_run' end, case when multi_call_turns > 0 then 'multi_call' end,
- case when final_answer_index < 0 then 'no_answer' end] if f is not null], ',') as flags, count(*) as trajectories from ({_card_sql()}) group by 1"""
+ case when final_answer_index < 0 then 'no_answer' end] if f is not null], ',') as flags, count(*) as trajectories from ({TRAJECTORY_CARD}) group by 1"""
 TEXT_TAILS = r"""with w as (select doc_id, regexp_split_to_array(regexp_replace(text, '^ +| +$', '', 'g'), '[ \t\n\x0b\f\r]+') as words from documents where text is not null and length(trim(text)) > 0)
 select doc_id, sha256(array_to_string(case when len(words) > 64 then words[-64:] else words end, ' ')) as tail, len(words) > 64 as cut from w"""
 

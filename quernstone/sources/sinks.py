@@ -45,3 +45,26 @@ def report(row: DataFrame, title: str) -> str:
     if len(found) != 1:
         raise ValueError("a report takes one row")
     return "\n".join([f"# {title}", "", *[f"- {k}: {v}" for k, v in found[0].asDict().items()], ""])
+
+
+def report_json(row: DataFrame, path: str) -> dict:
+    """A one-row summary as one JSON object in a new directory, and the object. More rows are refused."""
+    found = row.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("a report takes one row")
+    row.limit(1).coalesce(1).write.mode("errorifexists").json(path)
+    return found[0].asDict()
+
+
+def write_trajectories(events: DataFrame, path: str, key: str = "candidate_id") -> dict:
+    """Trajectories as JSON lines, one each with its messages in order; those without any usable message are left out and counted.
+
+    A trajectory is one row; its messages are sorted in it, not on the driver.
+    """
+    message = F.struct("msg_index", "role", "content", "tool_calls", "tool_call_id", "tool_error")
+    usable = F.col("role").isNotNull() & F.col("msg_index").isNotNull()
+    per = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.when(usable, F.struct("msg_index", "event_id", message.alias("m"))))).alias("rows"))
+    per = per.select(key, F.transform("rows", lambda r: r["m"]).alias("messages"))
+    per.where(F.size("messages") > 0).write.mode("errorifexists").json(path)
+    n = per.agg(F.count_if(F.size("messages") > 0).alias("written"), F.count_if(F.size("messages") == 0).alias("failed")).first()
+    return n.asDict()

@@ -83,3 +83,63 @@ def test_dataset_and_table(spark, tmp_path):
 def test_schema_matches_the_table(spark, sf):
     table = spark.read.parquet(f"{sf}/message_events.parquet")
     assert [(f.name, f.dataType.simpleString()) for f in table.schema] == [(f.name, f.dataType.simpleString()) for f in schema.EVENT]
+
+
+def test_directory_digest(spark, tmp_path):
+    import hashlib
+
+    from quernstone.sources.readers import directory_digest
+
+    (tmp_path / "d" / "sub").mkdir(parents=True)
+    (tmp_path / "d" / "b.bin").write_bytes(b"\xff\r\n")
+    (tmp_path / "d" / "sub" / "a.txt").write_bytes(b"x")
+    want = hashlib.sha256(b"b.bin\0\xff\r\n\0sub/a.txt\0x\0").hexdigest().upper()
+    assert tuple(directory_digest(spark, f"{tmp_path}/d").first()) == (2, want)
+    assert readers.file_digests(spark, f"{tmp_path}/d/b.bin", line_ends=True).first()["sha256"] == hashlib.sha256(b"\xff\n").hexdigest().upper()
+
+
+def test_first_log_by_path(spark, tmp_path):
+    for name in ("b/task.log", "a/task.log"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text("x")
+    (tmp_path / "b" / "z.log").write_text("x")
+    got = {r["directory"].rsplit("/", 1)[-1]: r["path"].rsplit("/", 1)[-1] for r in readers.newest_source(spark, str(tmp_path)).collect()}
+    assert got == {"a": "task.log", "b": "task.log"}
+
+
+def test_judge_logs_and_prompt_audits(spark, tmp_path):
+    from quernstone.sources import audits
+
+    (tmp_path / "j.jsonl").write_text('{"judge": "a", "prompt_tokens": 3, "cost": 0.5}\n{broken\n{"judge": "a", "prompt_tokens": 4}\n')
+    got = {r["judge"]: (r["calls"], r["errors"], r["prompt_tokens"], r["cost"]) for r in audits.judge_rollup(audits.judge_calls(spark, f"{tmp_path}/j.jsonl")).collect()}
+    assert got == {"a": (2, 0, 7, 0.5), None: (1, 1, None, None)}
+    (tmp_path / "p.jsonl").write_text('{"task_id": "1", "seed": 2, "model": "m2", "passed": true}\n{"task_id": "1", "seed": 2, "model": "m1", "passed": false}\n{"task_id": "1", "seed": 3, "model": "m1", "passed": true}\n')
+    assert sorted(tuple(r) for r in audits.prompt_audit_index(spark, f"{tmp_path}/p.jsonl").collect()) == [("1", 2, 2, False, "m1,m2"), ("1", 3, 1, True, "m1")]
+
+
+def test_encodings(spark, tmp_path):
+    from quernstone.sources import audits
+
+    (tmp_path / "u.txt").write_bytes("\ufeffGrüße".encode())
+    (tmp_path / "w.txt").write_bytes("Grüße".encode("windows-1252"))
+    assert sorted((r["text"], r["encoding"]) for r in audits.files_as_text(spark, str(tmp_path)).collect()) == [("Grüße", "utf-8"), ("Grüße", "windows-1252")]
+    texts = ["Grüße", "Grüße".encode().decode("windows-1252"), "don’t".encode().decode("windows-1252"), "plain", "日本", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in d.select(audits.mended("t")).collect()] == ["Grüße", "Grüße", "don’t", "plain", "日本", None]
+
+
+def test_faulty_predictions(spark):
+    from quernstone.sources import audits
+
+    d = spark.createDataFrame([("1", "PASS"), ("2", "MAYBE"), ("3", "FAIL"), ("3", "PASS"), (None, "PASS")], "task_id string, label string")
+    good, bad = audits.checked_predictions(d, ["PASS", "FAIL"])
+    assert [tuple(r) for r in good.collect()] == [("1", "PASS")]
+    assert sorted((r[0] or "", r[1]) for r in bad.collect()) == [("", "NO_KEY"), ("2", "UNKNOWN_LABEL"), ("3", "DUPLICATE"), ("3", "DUPLICATE")]
+
+
+def test_trajectories_and_json_report(spark, tmp_path, sf):
+    events = spark.read.parquet(f"{sf}/message_events.parquet")
+    done = sinks.write_trajectories(events.dropDuplicates(["event_id"]), str(tmp_path / "t"))
+    back = spark.read.json(str(tmp_path / "t"))
+    assert done["failed"] == 0 and back.count() == done["written"] and "messages" in back.columns
+    assert sinks.report_json(back.selectExpr("count(*) as n"), str(tmp_path / "r"))["n"] == done["written"]
