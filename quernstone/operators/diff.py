@@ -17,7 +17,7 @@ from decimal import Context, Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 4_000
@@ -168,10 +168,11 @@ def diff_states(replays: DataFrame, id_col: str = "replay_id", left_col: str = "
     rows = rows.where(F.col(id_col).isNotNull() & F.col("__l").isNotNull() & F.col("__r").isNotNull())
     # one row for each distinct pair of states; collapsed map-side, by digest, before the states move
     rows = rows.withColumn("__d", F.sha2(F.concat_ws(RECORD, "__l", "__r"), 256))
-    rows = rows.groupBy(id_col, "__d").agg(F.first("__l").alias("__l"), F.first("__r").alias("__r"))
+    # (both states in one value: the two sides below then share this exchange instead of each pruning the other's)
+    rows = rows.groupBy(id_col, "__d").agg(F.first(F.struct("__l", "__r")).alias("__v"))
     buckets = bucket_count(replays.count(), BUCKET_STATES)
     rows = rows.select(
-        F.concat(id_col, F.lit(RECORD), "__d").alias("__key"), "__l", "__r",
+        F.concat(id_col, F.lit(RECORD), "__d").alias("__key"), F.col("__v.__l").alias("__l"), F.col("__v.__r").alias("__r"),
         F.pmod(F.xxhash64(id_col, "__d"), F.lit(buckets)).alias("__bucket"),
     )
     left = rows.select("__bucket", "__key", F.col("__l").alias("state"))
@@ -251,8 +252,6 @@ def diff_tables(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     # equal rows are set against each other by count, with partial sums on the map side
     net = sides[0].unionAll(sides[1]).groupBy(*k_cols, *f_cols).agg(F.sum("sign").alias("n")).where("n <> 0")
     copies = net.select(*k_cols, *f_cols, (F.col("n") > 0).alias("is_left"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("n"))).alias("copy"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*k_cols, "is_left").orderBy(*[F.col(c).asc_nulls_first() for c in f_cols], "copy")
     key = F.to_json(F.array(*k_cols), {"ignoreNullFields": "false"})
     rows = copies.withColumn("__at", F.row_number().over(order)).withColumn("__key", F.concat(key, F.lit("#"), F.col("__at")))

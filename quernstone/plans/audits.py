@@ -187,11 +187,11 @@ def arm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr = _trials(spark, sf_dir).where("nth <= 2").groupBy("task_id").agg(
         *[F.max(F.when(F.col("nth") == n, F.col(c).cast("int"))).alias(f"{c}_{n}") for n in (1, 2) for c in ("success", "turns")])
     label = F.when(F.col("success_2").isNull(), "one_arm").otherwise(matching.transition(F.col("success_1") == 1, F.col("success_2") == 1))
-    return tr.groupBy(label.alias("transition")).agg(F.count("*").alias("tasks"), F.sum(F.col("turns_2") - F.col("turns_1")).alias("turn_change"))
+    return tr.groupBy(label.alias("transition")).agg(F.count("*").alias("tasks"), F.coalesce(F.sum(F.col("turns_2") - F.col("turns_1")), F.lit(0)).alias("turn_change"))
 
 
 ARM_ROWS = f"""with {TRIALS}, p as (select task_id, max(success::int) filter (nth = 1) as s1, max(success::int) filter (nth = 2) as s2, max(turns) filter (nth = 1) as t1, max(turns) filter (nth = 2) as t2 from trials where nth <= 2 group by task_id)
-select case when s2 is null then 'one_arm' when s1 = 1 and s2 = 1 then 'both_success' when s2 = 1 then 'improved' when s1 = 1 then 'regressed' else 'both_failure' end as transition, count(*) as tasks, sum(t2 - t1)::bigint as turn_change from p group by 1"""
+select case when s2 is null then 'one_arm' when s1 = 1 and s2 = 1 then 'both_success' when s2 = 1 then 'improved' when s1 = 1 then 'regressed' else 'both_failure' end as transition, count(*) as tasks, coalesce(sum(t2 - t1), 0)::bigint as turn_change from p group by 1"""
 
 
 def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
