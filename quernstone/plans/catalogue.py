@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quernstone.plans import audits, differences, governing, releases, runs, trajectories
+from quernstone.plans import audits, differences, failures, governing, releases, runs, trajectories
 
-MODULES = (differences, trajectories, governing, runs, releases, audits)
+MODULES = (differences, trajectories, governing, runs, releases, audits, failures)
 
 
 def queries() -> dict:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, str] = {}
+#: Paths of the tables written by materialize, by the identity of the DataFrame that reads them.
+_WRITTEN: dict[int, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,7 +60,17 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(table)] = path
+    weakref.finalize(table, _WRITTEN.pop, id(table), None)
+    return table
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table that materialize has written and nothing reads any more, so that loops keep no more than they use."""
+    path = _WRITTEN.pop(id(df), None) if df is not None else None
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def slots(spark: SparkSession) -> int:

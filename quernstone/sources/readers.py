@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone import schema
@@ -43,10 +43,19 @@ def result_events(results: DataFrame) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, row_schema) -> tuple[DataFrame, DataFrame]:
-    """Rows of a JSON-lines file, and its faulty lines as (path, line). Blank lines are skipped, a byte order mark is tolerated."""
-    text = spark.read.text(path).select(file_path().alias("path"), F.regexp_replace("value", "^﻿", "").alias("line")).where(F.length(F.trim("line")) > 0)
-    marked = text.withColumn("row", F.from_json("line", row_schema, {"mode": "PERMISSIVE"})).withColumn("ok", F.try_parse_json("line").isNotNull())
-    return marked.where("ok").select("path", "row.*"), marked.where("not ok").select("path", "line")
+    """Rows of JSON-lines files, and their faulty lines as (path, line_number, line). Blank lines are skipped, a byte order mark is tolerated.
+
+    A line's number is its place in its block of the file and the lines of the blocks before, so no file
+    is read as a whole.
+    """
+    lines = spark.read.text(path).select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^﻿", "").alias("line"))
+    marked = lines.where(F.length(F.trim("line")) > 0).withColumn("ok", F.try_parse_json("line").isNotNull())
+    good = marked.where("ok").withColumn("row", F.from_json("line", row_schema, {"mode": "PERMISSIVE"})).select("path", "row.*")
+    blocks = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    bad = marked.where("not ok").join(offsets, ["path", "block"]).select("path", (F.col("offset") + F.col("at") - F.col("first") + 1).alias("line_number"), "line")
+    return good, bad
 
 
 def predictions(spark: SparkSession, path: str, row_schema) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.sources.readers import file_digests
@@ -33,10 +33,11 @@ def yes_no(c: str) -> Column:
     return F.when(F.col(c).isNull(), "UNRESOLVED").when(F.col(c), "YES").otherwise("NO")
 
 
-def write_table(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """The columns, in order, as CSV with a header; booleans as YES, NO and UNRESOLVED."""
+def write_table(rows: DataFrame, path: str, columns: list[str], mark: bool = True) -> None:
+    """The columns, in order, as CSV with a header; booleans as YES, NO and UNRESOLVED. With mark, files begin with a byte order mark, as spreadsheets want."""
     kinds = dict(rows.dtypes)
-    rows.select(*[yes_no(c).alias(c) if kinds[c] == "boolean" else F.col(c) for c in columns]).write.mode("errorifexists").option("header", True).csv(path)
+    named = lambda i, c: ("\ufeff" if mark and i == 0 else "") + c
+    rows.select(*[(yes_no(c) if kinds[c] == "boolean" else F.col(c)).alias(named(i, c)) for i, c in enumerate(columns)]).write.mode("errorifexists").option("header", True).csv(path)
 
 
 def report(row: DataFrame, title: str) -> str:
@@ -68,3 +69,12 @@ def write_trajectories(events: DataFrame, path: str, key: str = "candidate_id")
     per.where(F.size("messages") > 0).write.mode("errorifexists").json(path)
     n = per.agg(F.count_if(F.size("messages") > 0).alias("written"), F.count_if(F.size("messages") == 0).alias("failed")).first()
     return n.asDict()
+
+
+def check_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """(file, fault) of a written dataset against the manifest beside it: MISSING, UNLISTED or CHANGED files; no rows if all is as written."""
+    manifest = json.loads(spark.read.text(f"{path.rstrip('/')}-manifest").first()["value"])  # a few numbers per file
+    listed = spark.createDataFrame(list(manifest["files"].items()), "file string, listed string")
+    found = file_digests(spark, f"{path}/part-*.json").select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "sha256")
+    fault = F.when(F.col("sha256").isNull(), "MISSING").when(F.col("listed").isNull(), "UNLISTED").when(F.col("sha256") != F.col("listed"), "CHANGED")
+    return listed.join(found, "file", "full_outer").select("file", fault.alias("fault")).where("fault is not null")

@@ -22,7 +22,7 @@ def test_json_lines_keep_faults(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('﻿{"task_id": "1", "label": "PASS"}\n\n{"task_id": \n{"task_id": "2"}\n')
     good, bad = readers.json_lines(spark, str(tmp_path), "task_id string, label string")
     assert sorted((r["task_id"], r["label"]) for r in good.collect()) == [("1", "PASS"), ("2", None)]
-    assert [r["line"] for r in bad.collect()] == ['{"task_id": ']
+    assert [(r["line_number"], r["line"]) for r in bad.collect()] == [(3, '{"task_id": ')]
 
 
 @pytest.mark.parametrize("text", ['[{"task_id": "1"}, {"task_id": "2"}]', '{"results": [{"task_id": "1"}, {"task_id": "2"}]}'])
@@ -143,3 +143,35 @@ def test_trajectories_and_json_report(spark, tmp_path, sf):
     back = spark.read.json(str(tmp_path / "t"))
     assert done["failed"] == 0 and back.count() == done["written"] and "messages" in back.columns
     assert sinks.report_json(back.selectExpr("count(*) as n"), str(tmp_path / "r"))["n"] == done["written"]
+
+
+def test_line_numbers_over_blocks(spark, tmp_path):
+    lines = ['{"task_id": "%d"}' % i if i % 97 else "{broken %d" % i for i in range(1, 3_000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        _, bad = readers.json_lines(spark, str(tmp_path), "task_id string")
+        assert sorted((r["line_number"], r["line"]) for r in bad.collect()) == [(i, "{broken %d" % i) for i in range(1, 3_000) if i % 97 == 0]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_dataset_is_checked_against_its_manifest(spark, tmp_path):
+    d = spark.createDataFrame([("1",), ("2",)], "k string").coalesce(1)
+    sinks.write_dataset(d, f"{tmp_path}/out", "k")
+    assert sinks.check_dataset(spark, f"{tmp_path}/out").count() == 0
+    part = next((tmp_path / "out").glob("part-*.json"))
+    part.write_text('{"k":"3"}\n')
+    (tmp_path / "out" / ("." + part.name + ".crc")).unlink()
+    (tmp_path / "out" / "part-extra.json").write_text("{}\n")
+    assert sorted(r["fault"] for r in sinks.check_dataset(spark, f"{tmp_path}/out").collect()) == ["CHANGED", "UNLISTED"]
+
+
+def test_tables_begin_with_a_mark(spark, tmp_path):
+    d = spark.createDataFrame([("1", True)], "k string, ok boolean").coalesce(1)
+    sinks.write_table(d, f"{tmp_path}/a", ["ok", "k"])
+    sinks.write_table(d, f"{tmp_path}/b", ["ok", "k"], mark=False)
+    a, b = (next((tmp_path / n).glob("part-*.csv")).read_bytes() for n in "ab")
+    assert a == b"\xef\xbb\xbf" + b and b == b"ok,k\nYES,1\n"
