@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.runtime import materialize
+from quernstone.runtime import discard, materialize
 
 
 def _any(df: DataFrame) -> bool:
@@ -14,11 +14,15 @@ def _any(df: DataFrame) -> bool:
 
 def _jump(parents: DataFrame) -> DataFrame:
     """The root of every node in a forest (node, parent) whose roots have no row."""
+    before = None
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         stepped = materialize(parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")), "jump")
         parents = stepped.select("node", "parent")
-        if not _any(stepped.where("moved")):
+        done = not _any(stepped.where("moved"))
+        discard(before)
+        before = stepped
+        if done:
             return parents
 
 
@@ -40,7 +44,9 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         rounds.append(roots)
         u, v = (roots.select(F.col("node").alias(c), F.col("parent").alias(f"root_{c}")) for c in "uv")
         renamed = edges.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
-        edges = materialize(renamed.where("u <> v").distinct(), "edges")
+        old, edges = edges, materialize(renamed.where("u <> v").distinct(), "edges")
+        discard(old)
+        discard(hooks)
     named = nodes.withColumn("component", F.col("node"))
     for roots in rounds:
         step = roots.select(F.col("node").alias("component"), F.col("parent").alias("root"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.runtime import materialize
+from quernstone.runtime import discard, materialize
 
 # The valid labels of each kind of review.
 LABELS = {
@@ -109,8 +109,10 @@ def reliabilities(votes: DataFrame, residual: float = RESIDUAL) -> DataFrame:
                 weight = PRIOR_WEIGHT * t["den"] / t["common"]
                 value = (F.col("num") + weight * t["num"] / t["den"]) / (F.col("den") + weight) / (t["xcx"] / t["xnx"]) ** 0.5
             new = F.when(F.col("review_kind") == t["review_kind"], value).otherwise(new)
-        x = materialize(stats.select("review_kind", "reviewer", "votes", (own + step * (new - own)).alias("x"), F.abs(new - own).alias("moved")), "reliability")
+        old, x = x, materialize(stats.select("review_kind", "reviewer", "votes", (own + step * (new - own)).alias("x"), F.abs(new - own).alias("moved")), "reliability")
         moved = x.agg(F.max("moved")).first()[0] or 0.0
+        discard(old)
+        discard(stats)
         if moved <= residual:
             break
         if moved > before:  # swings between two sides: go half the way

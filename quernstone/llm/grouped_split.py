@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.consensus import stripped
-from quernstone.runtime import materialize, scratch_path
+from quernstone.runtime import discard, materialize, scratch_path
 
 TARGETS = {"TRAIN": 0.8, "VALIDATION": 0.1, "TEST": 0.1}
 QUARANTINE = "QUARANTINE"
@@ -47,11 +47,15 @@ def entries_of(rows: DataFrame, id_col: str, group_col: str = "group_ids") -> Da
 
 def _flatten(parents: DataFrame, name: str) -> DataFrame:
     """Pointer jumping: every component's root in a table (component, parent) with parent <= component."""
+    before = None
     while True:
         up = parents.select(F.col("component").alias("parent"), F.col("parent").alias("grand"))
         stepped = materialize(parents.join(up, "parent", "left").select("component", F.coalesce("grand", "parent").alias("parent"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")), name)
         parents = stepped.select("component", "parent")
-        if not stepped.where("moved").limit(1).count():
+        done = not stepped.where("moved").limit(1).count()
+        discard(before)
+        before = stepped
+        if done:
             return parents
 
 
@@ -72,7 +76,9 @@ def components(ids: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
         if not hooks.limit(1).count():
             break
         roots = _flatten(hooks, "roots")
-        labels = materialize(labels.join(roots, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
+        old, labels = labels, materialize(labels.join(roots, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
+        discard(old)
+        discard(hooks)
     return ids.select(F.col(id_col).alias("node")).join(labels, "node", "left").select(F.col("node").alias(id_col), F.coalesce("component", "node").alias("component"))
 
 
