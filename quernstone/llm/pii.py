@@ -419,6 +419,10 @@ def entities(tagger: Tagger, texts: list[str]) -> list[tuple[int, list[tuple[str
             end -= len(piece) - len(piece.rstrip())
             kind = LABELS[label]
             if kind == "NAME":
+                stop = SENTENCE_END.search(text, start, end)
+                if stop:  # a name doesn't go on behind a sentence: the part that has the form of one
+                    first = start, stop.end() - 2
+                    start, end = first if well_formed(kind, text[slice(*first)], tagger.crf.plain) else (stop.end(), end)
                 start, end = name_within(text, start, end)
             if kind in ("ID_NUMBER", "PHONE") and LONGER.search(text[max(0, start - 2) : start] + "\0" + text[end : end + 2]):
                 continue  # a part of a longer code
