@@ -62,3 +62,24 @@ def score(completion: Column, extracted: Column, expected: Column, tools: list[s
         "tool_match": same(part(extracted, "tool"), part(expected, "tool")), "arguments_match": same(part(extracted, "arguments"), part(expected, "arguments")),
         "exact": same(canonical(extracted), canonical(expected)), "strict_exact": same(canonical(strict), canonical(expected)),
     }
+
+
+def normalised(c: str | Column) -> Column:
+    """Text of a completion: of a JSON list of messages the last one's content, else the text itself; trimmed."""
+    col = F.col(c) if isinstance(c, str) else c
+    contents = F.try_variant_get(F.try_parse_json(col), "$", "array<struct<content: string>>")
+    last = F.coalesce(F.get(contents, F.size(contents) - 1)["content"], F.lit(""))
+    return F.trim(F.when(F.size(contents) > 0, last).otherwise(col))
+
+
+def prefix_arguments(c: str | Column, extracted: Column) -> Column:
+    """Arguments at the beginning of a logged text: its first_object if it starts with one, else its first line under _raw."""
+    col = F.ltrim(F.col(c) if isinstance(c, str) else c)
+    line = F.split(col, "\\r?\\n")[0]
+    return F.when(F.startswith(col, F.lit("{")) & extracted.isNotNull(), canonical(extracted)).otherwise(F.to_json(F.struct(line.alias("_raw"))))
+
+
+def verdict(reward: str | Column) -> Column:
+    """PASS for a reward of one or more, FAIL for less, NOT_EVALUATED for none or what is no number."""
+    value = (F.col(reward) if isinstance(reward, str) else reward).try_cast("double")
+    return F.when(value.isNull() | F.isnan(value), "NOT_EVALUATED").when(value >= 1, "PASS").otherwise("FAIL")

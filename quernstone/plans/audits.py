@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import canonical
-from quernstone.operators import governance, matching
+from quernstone.operators import completions, governance, matching
 from quernstone.operators import trajectory as t
 from quernstone.plans.governing import DECIDED, VOTES, _decided, _votes
 from quernstone.plans.releases import CANDIDATES, _held
@@ -205,6 +205,15 @@ def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROJECT_SUMMARY = f"""with {DECIDED}, {TRIALS}, {CALLS.removeprefix(EVENTS + ', ')} select (select count(distinct candidate_id) from ev) as trajectories, (select count(*) from calls) as calls, count(*) as decisions, count(*) filter (disposition <> 'HOLDOUT') as positives,
  (select count(distinct replay_id) from replay_results) as replays from decided"""
 
+def benchmark_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defined tasks by the verdict of their mean reward over all trials; untried ones are not evaluated."""
+    known = read(spark, sf_dir, "task_definitions").where("task_id is not null").select("task_id").distinct()
+    rewards = _trials(spark, sf_dir).groupBy("task_id").agg(F.avg(F.col("success").cast("int")).alias("reward"))
+    return known.join(rewards, "task_id", "left").groupBy(completions.verdict("reward").alias("verdict")).agg(F.count("*").alias("tasks"))
+
+
+BENCHMARK_VERDICTS = f"""with {TRIALS}, k as (select distinct task_id from task_definitions where task_id is not null), r as (select task_id, avg(success::int) as reward from trials group by task_id)
+select case when reward is null then 'NOT_EVALUATED' when reward >= 1 then 'PASS' else 'FAIL' end as verdict, count(*) as tasks from k left join r using (task_id) group by 1"""
 LABEL_STEPS = f"""with {VOTES}, r as (select task_id, case label when 'FAIL' then 0 when 'REVIEW' then 1 else 2 end as rank, reviewed_at, reviewer from votes), s as (select rank - lag(rank) over (partition by task_id order by reviewed_at, reviewer) as step from r)
 select step, count(*) as votes from s where step is not null group by step"""
 DATASET_ROWS = f"""with {CALLS}, made as (select candidate_id, call_id, min(msg_index) as called from calls group by all), seen as (select candidate_id, tool_call_id as call_id, min(msg_index) as answered, count(*) as answers from ev where role = 'tool' group by all),
@@ -213,4 +222,4 @@ DATASET_ROWS = f"""with {CALLS}, made as (select candidate_id, call_id, min(msg_
 select concat_ws(',', case when not coalesce(paired, true) then 'pairing' end, case when not answered then 'answer' end, case when errors > 0 then 'errors' end) as reasons, count(*) as trajectories from c left join o using (candidate_id) group by 1"""
 
 QUERIES = {f.__name__: (f, globals()[f.__name__.upper()]) for f in (
-    located_amounts, entity_overlap, run_details, card_summary, variance_gates, label_steps, preflight, holdout_inputs, dataset_rows, task_summaries, located_writes, merged_aliases, call_arrays, arm_rows, project_summary)}
+    located_amounts, entity_overlap, run_details, card_summary, variance_gates, label_steps, preflight, holdout_inputs, dataset_rows, task_summaries, located_writes, merged_aliases, call_arrays, arm_rows, project_summary, benchmark_verdicts)}

@@ -87,3 +87,12 @@ def test_counts_match_as_numbered_joins_do(spark):
     one = sorted(tuple(x[c] for c in ("unit", "expected", "matched", "actual", "excess", "recall")) for x in matching.match_counts(both, "unit", "signature", F.col("want")).collect())
     two = sorted(tuple(x[c] for c in ("unit", "expected", "matched", "actual", "excess", "recall")) for x in matching.match_summary(expected, actual, "unit").collect())
     assert one == two
+
+
+def test_normalised_completions_and_prefixes(spark):
+    d = spark.createDataFrame([('[{"role": "user", "content": "a"}, {"role": "assistant", "content": " b "}]', "b"), (" plain ", "plain"), ('{"tool": 1}', '{"tool": 1}'), ("[]", "[]"), ('[{"role": "x"}]', ""), (None, None)], "t string, want string")
+    assert all(r[0] == r[1] for r in d.select(completions.normalised("t"), "want").collect())
+    d = spark.createDataFrame([(' {"b": 1, "a": 2} and more\nnext', '{"a":2,"b":1}'), ("broken {\nnext", '{"_raw":"broken {"}'), ("{broken\nnext", '{"_raw":"{broken"}')], "t string, want string")
+    assert all(r[0] == r[1] for r in d.select(completions.prefix_arguments("t", completions.first_object("t")), "want").collect())
+    d = spark.createDataFrame([("1.0", "PASS"), ("2", "PASS"), ("0.99", "FAIL"), ("x", "NOT_EVALUATED"), (None, "NOT_EVALUATED"), ("NaN", "NOT_EVALUATED")], "t string, want string")
+    assert all(r[0] == r[1] for r in d.select(completions.verdict("t"), "want").collect())
