@@ -1,16 +1,17 @@
 """Problem 3: groups of records that share most of their content.
 
-Method: bottom-k sketches.
+Method: keys of several minima.
 
 1. Each record's shingles are hashed once. Records with equal sets are copies and are represented by one
    of them from here on.
-2. Inverted lists of the values that the sketches retain generate overlaps, and the union of two sketches
-   estimates their similarity (sketch_join). k follows the set's size and rare values are retained first,
-   so that pairs with the least similarity always meet; estimates are only used by their upper ends.
+2. Inverted lists of the keys, hashes of a few minima each, generate pairs, and bits of the sketches
+   estimate their similarity (sketch_join). The number of minima in a key follows the number of records, so
+   that the pairs met in vain don't grow with its square; estimates are only used by their upper ends.
 3. The exact Jaccard similarity of the whole sets, of 64 bits, decides. Linked records are grouped by
    hooking and pointer jumping, and their links are counted.
 
-No list is cut off and no record dropped; a pair just at the threshold is missed once in ten million.
+No list is cut off and no record dropped; a pair just at the threshold is missed by its keys once in ten
+million, and by its bits as often.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.components import connected
-from quernstone.llm.frequency import value_ranks
 from quernstone.llm.shingles import mix, shingle_hashes, word_hashes
-from quernstone.llm.sketch_join import SKETCH, candidates, sketch
+from quernstone.llm.sketch_join import SKETCH, candidates, key_width, sketch
 from quernstone.runtime import materialize
 
 #: Members of a block of a group; each two blocks make their pairs in a task of their own.
@@ -88,44 +88,33 @@ def _column(values: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
 
 
-def _message_shingles(width: int) -> Callable[[pa.Array], np.ndarray]:
-    def run(contents: pa.Array) -> np.ndarray:
-        return _tokens(shingle_hashes(word_hashes("\n".join(filter(None, contents.to_pylist()))), width)).astype(np.int64)
+def minima_of_keys(messages: DataFrame, threshold: float) -> int:
+    """Minima in a key, by about how many conversations there are."""
+    return key_width(messages.agg(F.approx_count_distinct("candidate_id")).first()[0], threshold)
 
-    return run
 
-
-def _tokens(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def conversation_sketches(messages: DataFrame, threshold: float, width: int = 3) -> DataFrame:
-    """(candidate_id, doc, n, digest, check, SKETCH): the sketches of all conversations, and numbers that tell equal sets.
-
-    Ranks come from the counts of all messages' shingles, read in the order of the table.
-    Sketches retain the upper 32 bits of the hashes; n, digest and check come from all 64.
+def conversation_sketches(messages: DataFrame, threshold: float, width: int = 3, minima: int = 3) -> DataFrame:
+    """(candidate_id, doc, n, digest, check, SKETCH): the sketches of all conversations, with so many minima in a key, and numbers that tell equal sets.
 
     Defined cases: null contents are left out; messages of the same index are ordered by event_id; rows
     with a null candidate_id belong to no conversation; a conversation of fewer than `width` words has
     an empty set and no links.
     """
-    spoken = messages.where(F.col("role").isin("user", "assistant") & F.col("candidate_id").isNotNull())
-    ranks = value_ranks(spoken, "content", _message_shingles(width))
 
     def columns(values: np.ndarray) -> tuple:
         digest, check = np.bitwise_xor.reduce(mix(values)), np.sum(mix(values ^ np.uint64(0x9E3779B97F4A7C15)))
-        kept, blocks, bits = sketch(_tokens(values), ranks.value, threshold)
-        return pa.scalar(len(values), pa.int32()), int(digest.astype(np.uint64).view(np.int64)), int(check.astype(np.uint64).view(np.int64)), kept, blocks, *map(int, bits)
+        keys, bits = sketch(values, threshold, minima)
+        return pa.scalar(len(values), pa.int32()), int(digest.astype(np.uint64).view(np.int64)), int(check.astype(np.uint64).view(np.int64)), keys, np.zeros(0, np.int32), *map(int, bits)
 
     return _per_conversation(messages, width, f"n int, digest bigint, check bigint, {SKETCH}", columns)
 
 
-def similar_sets(sketches: DataFrame, messages: DataFrame, threshold: float, width: int) -> DataFrame:
+def similar_sets(sketches: DataFrame, messages: DataFrame, threshold: float, width: int, minima: int = 3) -> DataFrame:
     """(a, b, similarity): all linked pairs, with a < b, among the conversations (candidate_id, doc, n, SKETCH) with different sets.
 
     The sets of 64 bits that verify are built anew, of the candidates' conversations alone.
     """
-    close = materialize(candidates(sketches, threshold), "close")
+    close = materialize(candidates(sketches, threshold, minima), "close")
     involved = close.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     named = materialize(sketches.select("doc", "candidate_id").join(involved, "doc", "left_semi"), "named")
     again = _per_conversation(messages.join(named, "candidate_id", "left_semi"), width, "shingles array<bigint>", lambda values: (values.view(np.int64),))
@@ -144,14 +133,15 @@ def conversation_groups(messages: DataFrame, threshold: float = 0.6, width: int
     group_id is the number of the group's first record; links counts all different texts its own is
     linked to directly, copies the other conversations with the same set.
     """
-    full = materialize(conversation_sketches(messages, threshold, width), "sketches").where("n > 0")
+    minima = minima_of_keys(messages, threshold)
+    full = materialize(conversation_sketches(messages, threshold, width, minima), "sketches").where("n > 0")
     same = ["digest", "check", "n"]
     kinds = full.groupBy(*same).agg(F.min("doc").alias("rep"), F.count("*").alias("same"))
     of = materialize(full.select("candidate_id", "doc", *same).join(kinds, same).select("candidate_id", "doc", "rep", "same"), "members")
     # a table of their own, so that its size decides how the sketches are filtered
     copies = materialize(of.where("same > 1 and doc <> rep").select("doc"), "copies")
     distinct = full.join(copies, "doc", "left_anti")
-    links = materialize(similar_sets(distinct, messages, threshold, width), "links")
+    links = materialize(similar_sets(distinct, messages, threshold, width, minima), "links")
     groups = connected(links).select(F.col("node").alias("rep"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     return (

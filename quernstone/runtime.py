@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -73,6 +74,12 @@ def discard(df: DataFrame | None) -> None:
         _remove(df.sparkSession, path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to any more: shuffle files stay on disk until it does, which loops can't wait for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slots(spark: SparkSession) -> int:
     """Task slots of the cluster."""
     return max(1, spark.sparkContext.defaultParallelism)

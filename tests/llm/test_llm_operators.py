@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -376,6 +377,37 @@ def test_blocks_of_a_list_all_meet_once(spark):
     assert sketch_join.least_agreement(0.6) > sketch_join.BITS // 2 and len(sketch_join.bits_of(np.arange(9))) == sketch_join.BITS // 64
 
 
+def test_texts_from_the_same_phrases_seldom_meet(spark):
+    r = random.Random(23)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(6)) for k in range(400)]
+    texts = [(f"c{i:03d}", " ".join(r.sample(phrases, 40))) for i in range(600)]
+    made = near_duplicates.conversation_sketches(messages(spark, texts), 0.6).select("values").collect()
+    lists = Counter(v for row in made for v in row["values"])
+    assert sum(c * (c - 1) // 2 for c in lists.values()) < sum(lists.values()) / 2
+
+
+def test_wider_keys_for_more_sets_lose_no_more():
+    widths = [sketch_join.key_width(10**k, 0.6) for k in range(3, 11)]
+    assert widths == sorted(widths) and widths[0] == 3 and widths[-1] > 5
+    for sets, width in zip((10**k for k in range(3, 11)), widths):
+        keys = sketch_join.keys_needed(0.6, width)
+        assert (1 - 0.6**width) ** keys <= sketch_join.LOST and sets / 2 * keys * sketch_join.BACKGROUND**width < 20 * keys
+
+
+def test_wide_keys_in_rounds_find_all_links(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "key_width", lambda *_: 5)
+    assert sketch_join.keys_needed(0.6, 5) > 2 * sketch_join.ROUND
+    r = random.Random(29)
+    texts = []
+    for size in (1, 3, 12, 25):
+        base = [f"w{r.randrange(900)}" for _ in range(300)]
+        texts += [(f"g{size}-{j:02d}", " ".join(w if r.random() > 0.045 else f"x{r.randrange(900)}" for w in base)) for j in range(size)]
+    texts += [("few1", "a b c d e f"), ("few2", "a b c d e f g"), ("few3", "v a b c d e f g")]
+    links = Counter(c for pair in brute_pairs(dict(texts)) for c in pair)
+    groups = near_duplicates.conversation_groups(messages(spark, texts))
+    assert {x["candidate_id"]: x["links"] for x in groups.collect()} == {c: links[c] for c, _ in texts} and links["few1"] > 0 and len(links) > 30
+
+
 def test_frequent_values_are_found_wherever_they_lie(spark, monkeypatch):
     monkeypatch.setattr(frequency, "CHUNK", 64)
     monkeypatch.setattr(frequency, "SHARE_BITS", 6)
